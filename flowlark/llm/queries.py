@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     concat_cut,
     html_wrapper,
+    jaccard_fragments,
     language_fusion,
     line_runs,
     ogg_media,
@@ -71,6 +72,11 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_jaccard_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return jaccard_fragments.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document lies in the compacted store."""
     return size_tiered.shard_rows(table(spark, sf_dir, "documents"))
@@ -90,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_wrapper, op2_winnowing, op3_secret_ownership, op4_language_fusion, op5_concat_cut,
-        op6_line_runs, op8_size_tiered, op9_warc_chunks, op10_ogg_media,
+        op6_line_runs, op7_jaccard_fragments, op8_size_tiered, op9_warc_chunks, op10_ogg_media,
     )
 }
 
@@ -120,4 +126,17 @@ j AS (SELECT k.doc_id, n, line, coalesce(k.doc_id <> r.last, FALSE) AS gone FROM
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op7_jaccard_fragments": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, f.b FROM r JOIN f ON r.b = f.a)
+SELECT r.a AS doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a""",
 }
