@@ -81,9 +81,16 @@ def line_hashes(documents: DataFrame, min_chars: int = MIN_CHARS, batches: int =
     return docs.mapInArrow(run, schema)
 
 
-def summed(rows: DataFrame) -> DataFrame:
-    """Run rows with the counts of each line together."""
-    return rows.groupBy(*_KEY).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one, by a merge join on their common buckets and order."""
+    names = ("n", "last", "first")
+    b = b.select(*_KEY, *[F.col(c).alias(f"b_{c}") for c in names])
+    return a.join(b, list(_KEY), "full").select(
+        *_KEY,
+        (F.coalesce("n", F.lit(0)) + F.coalesce("b_n", F.lit(0))).alias("n"),
+        F.greatest("last", "b_last").alias("last"),
+        (F.coalesce("first", F.lit(False)) | F.coalesce("b_first", F.lit(False))).alias("first"),
+    )
 
 
 class LineRuns:
@@ -132,19 +139,16 @@ class LineRuns:
         level = 0
         while level < len(self.levels):
             if len(self.levels[level]) >= self.fanout:
-                rows = reduce(DataFrame.unionByName, [self.spark.table(n) for n in self.levels[level]])
-                merged = rows.groupBy(*_KEY).agg(
-                    F.sum("n").alias("n"), F.max("last").alias("last"), F.max("first").alias("first")
-                )
+                rows = reduce(merged, [self.spark.table(n) for n in self.levels[level]])
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(self._write(merged, level + 1))
+                self.levels[level + 1].append(self._write(rows, level + 1))
                 self.levels[level] = []
             level += 1
 
     def counts(self) -> DataFrame:
         """``h1, h2, n, last`` over all runs."""
-        return summed(reduce(DataFrame.unionByName, self.runs()))
+        return reduce(merged, self.runs()).select(*_KEY, "n", "last")
 
 
 def dedup_lines(
