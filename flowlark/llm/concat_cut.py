@@ -10,7 +10,9 @@ each side.  Nothing is shuffled, and no task holds more than a batch.
 
 from __future__ import annotations
 
+import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ from .shared import materialize
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a worker remembers, in each of two generations.
+#: Words, and parts of words in each of two generations, whose ids a worker remembers.
 REMEMBERED = 250_000
+#: Text encoded at once; the more, the fewer words are looked up twice.
+TEXT_BYTES = 8 << 20
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -42,8 +46,9 @@ class WordIds:
     """Ids of white-space separated words, remembered.
 
     Holds for tokenizers that drop white space, ignore the case of A-Z and
-    never join letters with ASCII punctuation other than the apostrophe: then a
-    text's ids are its words' ids in turn.  Texts that may hold one of the
+    never join letters with ASCII punctuation other than the apostrophe, and
+    that take a word of ASCII letters to the model as it is: then a text's ids
+    are its words' ids in turn.  Texts that may hold one of the
     tokenizer's special strings are encoded whole.
     """
 
@@ -54,7 +59,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.remembered = remembered
+        self.words: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -72,6 +79,8 @@ class WordIds:
             if word not in young:
                 if word in old:
                     young[word] = old[word]
+                elif word.isascii() and word.isalpha():  # one pre-token, which no normalizer changes
+                    young[word] = array("H", [t.id for t in self.model.tokenize(word)]).tobytes()
                 else:
                     missing.append(word)
         for at in range(0, len(missing), 5000):
@@ -82,8 +91,13 @@ class WordIds:
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """Ids of words that hold no white space, as bytes."""
+        if len(self.words) > 2 * self.remembered:
+            self.words = {}
+        found = list(map(self.words.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
         stems, tails = [], []
-        for word in words:
+        for k in new:
+            word = words[k]
             stem = word.rstrip(_PUNCTUATION)
             if stem and len(stem) < len(word) and stem.isalpha():
                 stems.append(stem)
@@ -92,7 +106,9 @@ class WordIds:
                 stems.append(word)
                 tails.append("")
         known = self._parts(stems + tails)
-        return [known[a] + known[b] if b else known[a] for a, b in zip(stems, tails, strict=True)]
+        for k, a, b in zip(new, stems, tails, strict=True):
+            found[k] = self.words[words[k]] = known[a] + known[b] if b else known[a]
+        return found
 
     def of_texts(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 16-bit numbers."""
@@ -119,6 +135,12 @@ class WordIds:
         ]
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """The tokenizer of this worker, which keeps what it remembers from task to task."""
+    return WordIds(path)
+
+
 def tokenize(documents: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``doc_id, part, before, n, ids``: each document's ids with the end id.
 
@@ -138,10 +160,10 @@ def tokenize(documents: DataFrame, tokenizer: str | None = None, end_id: int = E
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, before = WordIds(path), TaskContext.get().partitionId(), 0
+        words, part, before = word_ids(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=np.uint16).tobytes()
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", TEXT_BYTES):
                 texts = pc.fill_null(piece["text"], "")
                 ids = [x + end for x in words.of_texts(texts)]
                 n = np.fromiter((len(x) // 2 for x in ids), dtype=np.int64, count=len(ids))
