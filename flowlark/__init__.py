@@ -1,0 +1 @@
+"""Message-flow analytics on Spark: logs of subject-addressed messages as DataFrames."""
