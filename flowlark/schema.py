@@ -7,24 +7,35 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MESSAGES = T.StructType.fromDDL(
+_KINDS = {
+    "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "map<string,string>": T.MapType(T.StringType(), T.StringType()), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _schema(text: str) -> T.StructType:
+    """A schema from "name kind, ..."; needs no session, so workers may import this module."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in text.split(", "))])
+
+
+MESSAGES = _schema(
     "seq long, stream string, subject string, ts_ms long, headers map<string,string>, msg_id string, "
     "reply_to string, payload string, nbytes long, flags int"
 )
-STREAMS = T.StructType.fromDDL(
+STREAMS = _schema(
     "name string, filter string, max_msgs long, max_bytes long, max_age_ms long, discard string, "
     "retention string, idempotency_window_ms long, created_at_seq long"
 )
-CONSUMERS = T.StructType.fromDDL(
+CONSUMERS = _schema(
     "consumer_id long, stream string, name string, group_name string, filter string, mode string, ack_policy string, "
     "deliver_policy string, start_seq long, max_inflight long, ack_wait_ms long, paused boolean"
 )
-SUBSCRIPTIONS = T.StructType.fromDDL(
+SUBSCRIPTIONS = _schema(
     "subscription_id long, consumer_id long, stream string, connection_id long, filters array<string>"
 )
-LIMITS = T.StructType.fromDDL("stream string, pattern string, limit long, written long")
-DELIVERIES = T.StructType.fromDDL("seq long, consumer_id long, subscription_id long, attempt int, delivered_ms long")
-ACKS = T.StructType.fromDDL("consumer_id long, seq long, kind string, acked_ms long, delay_ms long")
+LIMITS = _schema("stream string, pattern string, limit long, written long")
+DELIVERIES = _schema("seq long, consumer_id long, subscription_id long, attempt int, delivered_ms long")
+ACKS = _schema("consumer_id long, seq long, kind string, acked_ms long, delay_ms long")
 
 # Message flags.
 TOMBSTONE = 1
