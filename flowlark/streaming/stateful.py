@@ -32,8 +32,8 @@ class AckTimeouts(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getMapState("pending", "seq long", "due long, reason string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        now, out = timers.getCurrentProcessingTimeInMs(), []
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
         for part in rows:
             for r in part.sort_values("at_ms").itertuples():
                 seq = (int(r.seq),)
@@ -56,8 +56,8 @@ class AckTimeouts(StatefulProcessor):
         self.pending.updateValue(seq, (due, reason))
         self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        now, out = expired.getExpiryTimeInMs(), []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = expiredTimerInfo.getExpiryTimeInMs(), []
         ripe = [(seq, value) for seq, value in self.pending.iterator() if value[0] <= now]
         for seq, (_, reason) in ripe:
             self.pending.removeKey(seq)
@@ -84,8 +84,8 @@ class DelayedRelease(StatefulProcessor):
         self.handle = handle
         self.held = handle.getMapState("held", "due long, position long", "payload string")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-        now = timers.getCurrentProcessingTimeInMs()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
         for part in rows:
             for r in part.itertuples():
                 self.held.updateValue((int(r.deliver_at), int(r.offset)), (r.payload,))
@@ -93,8 +93,8 @@ class DelayedRelease(StatefulProcessor):
                     self.handle.registerTimer(int(r.deliver_at))
         yield self._due(key, now)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        yield self._due(key, expired.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._due(key, expiredTimerInfo.getExpiryTimeInMs())
 
     def _due(self, key, now: int) -> pd.DataFrame:
         ripe = sorted((k, v[0]) for k, v in self.held.iterator() if k[0] <= now)
@@ -123,7 +123,7 @@ class FirstSight(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
             part = part.sort_values(["ts_ms", "seq"])
             keep = []
@@ -157,7 +157,7 @@ class Credit(StatefulProcessor):
         self.pending = handle.getMapState("pending", "seq long", "subject string, cap long")
         self.most = handle.getValueState("most", "n long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
         for part in rows:
             for r in part.sort_values("at_ms").itertuples():
@@ -209,7 +209,7 @@ class Workflow(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "json string")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         one = Instance(key[0], self.steps, self.max_retries)
         if self.state.exists():
             held = json.loads(self.state.get()[0])
@@ -244,7 +244,7 @@ class StalledConnections(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "at long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         latest = max(int(part["at_ms"].max()) for part in rows)
         if self.last.exists():
             latest = max(latest, self.last.get()[0])
@@ -252,8 +252,8 @@ class StalledConnections(StatefulProcessor):
         self.handle.registerTimer(latest + self.limit_ms)
         yield pd.DataFrame({"connection_id": [], "at_ms": []}).astype("int64")
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        now = expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
         if self.last.exists() and self.last.get()[0] + self.limit_ms <= now:
             self.last.clear()
             yield pd.DataFrame({"connection_id": [key[0]], "at_ms": [now]}).astype("int64")
