@@ -224,10 +224,10 @@ def _with_nameless(documents: DataFrame, joined: DataFrame, repeated: DataFrame)
     own = line_hashes(
         nameless.select(F.col("__row").alias("doc_id"), "text").distinct(), min_chars=1, batches=1
     )
-    gone = own.join(repeated, list(_KEY)).groupBy("id").agg(
+    gone = own.join(repeated, list(_KEY)).groupBy(F.col("id").alias("__id")).agg(
         F.collect_list("h1").alias("__h1"), F.collect_list("h2").alias("__h2")
     )
-    extra = nameless.join(gone, F.col("__row") == F.col("id"), "left").drop("id", "__row")
+    extra = nameless.join(gone, F.col("__row") == F.col("__id"), "left").drop("__id", "__row")
     return joined.where(F.col("doc_id").isNotNull()).unionByName(extra)
 
 
