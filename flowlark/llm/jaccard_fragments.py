@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,9 @@ _STEPS = 6
 PIVOT_ROUNDS = 2
 #: Sets of so many nodes are looked up in a broadcast list; more in a join.
 BROADCAST_NODES = 2_000_000
+#: Bits of a set's parity map: two sets differ in at least as many shingles as
+#: their maps in bits, which rules out most pairs before they are made.
+PARITY_BITS = 1024
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -171,8 +174,14 @@ def cuts(level: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The parity map of a set as 64-bit numbers."""
+    odd = np.bincount((found & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(documents: DataFrame, words: int, percent: int, level: object) -> DataFrame:
-    """``id, n, sig, prefix``: the rarest shingles, one of which any partner shares."""
+    """``id, n, sig, prefix, bits``: the rarest shingles, one of which any partner shares, and the parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _sets(batches, words):
@@ -187,11 +196,12 @@ def prefixes(documents: DataFrame, words: int, percent: int, level: object) -> D
                     piece["id"], pa.array([len(s) for s in sets], type=pa.int64()),
                     pa.array([_signature(s) for s in sets], type=pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array([parity(s) for s in sets], type=pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "sig", "prefix"],
+                names=["id", "n", "sig", "prefix", "bits"],
             )
 
-    return _documents(documents).mapInArrow(run, "id long, n long, sig binary, prefix array<long>")
+    return _documents(documents).mapInArrow(run, "id long, n long, sig binary, prefix array<long>, bits array<long>")
 
 
 def fragments_of(documents: DataFrame, words: int, level: object, at: np.ndarray) -> DataFrame:
@@ -219,9 +229,14 @@ def fragments_of(documents: DataFrame, words: int, level: object, at: np.ndarray
     return documents.mapInArrow(run, "node long, fragment int, part array<long>")
 
 
+def needed(n1: Column, n2: Column, percent: int) -> Column:
+    """The least overlap of linked sets of these sizes."""
+    return F.ceil(percent * (n1 + n2) / F.lit(100 + percent) - F.lit(1e-9))
+
+
 def possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
     """Whether sets of these sizes can be linked if their first common shingle has these places."""
-    need = F.ceil(percent * (n1 + n2) / F.lit(100 + percent) - F.lit(1e-9))
+    need = needed(n1, n2, percent)
     return (
         (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (n1 - p1 >= need) & (n2 - p2 >= need)
     )
@@ -246,15 +261,19 @@ class Join:
         """``token, node, n, place`` for prefix shingles that several nodes have."""
         made = materialize(prefixes(self.documents, self.words, self.percent, self.level), "jaccard-prefixes")
         nodes = self.classes.select(F.col("node").alias("id"), "sig")
-        rows = (
-            made.join(nodes, ["id", "sig"], "left_semi")
-            .select("id", "n", F.posexplode("prefix").alias("place", "token"))
-            .select("token", F.col("id").alias("node"), (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np"))
+        chosen = made.join(nodes, ["id", "sig"], "left_semi")
+        self.bits = chosen.select(F.col("id").alias("node"), "bits")
+        rows = chosen.select("id", "n", F.posexplode("prefix").alias("place", "token")).select(
+            "token", F.col("id").alias("node"), (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np")
         )
-        # a node's row may repeat where the table repeats it: then it is two of a token, which does no harm
-        several = rows.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("token")
+        # one shuffle, and of the sorted run of a token no more than the rows beside one
+        w = Window.partitionBy("token").orderBy("node")
+        beside = F.lag("node").over(w).isNotNull() | F.lead("node").over(w).isNotNull()
+        # a table that repeats a row repeats its node, which does no harm
         return materialize(
-            rows.join(several, "token", "left_semi")
+            rows.withColumn("beside", beside)
+            .where("beside")
+            .select("token", "node", "np")
             .distinct()
             .select(
                 "token", "node", F.shiftright("np", 31).alias("n"),
@@ -320,14 +339,23 @@ class Join:
         )
 
     def crossed(self, rows: DataFrame) -> DataFrame:
-        """Pairs of members of different components in one bucket."""
-        names = ("node", "n", "place", "component")
+        """Pairs of members of different components in one bucket.
+
+        The parity maps are looked at last, for what the places allow.
+        """
+        names = ("node", "n", "place", "component", "bits")
+        rows = rows.join(self.bits.dropDuplicates(["node"]), "node")
         x = rows.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
         y = rows.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in names])
         near = possible(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"), self.percent)
         same = F.col("x_token") == F.col("y_token")
         apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
-        return x.join(y, same & apart & near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        differ = F.aggregate(
+            F.zip_with("x_bits", "y_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k
+        )
+        n1, n2 = F.col("x_n"), F.col("y_n")
+        close = differ <= n1 + n2 - 2 * needed(n1, n2, self.percent)
+        return x.join(y, same & apart & near & close).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
     def run(self) -> DataFrame:
         """``id, n, component`` of each row."""
