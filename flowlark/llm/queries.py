@@ -100,7 +100,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+def _secret_sql() -> str:
+    """Kinds as rows; positions from the lengths of pieces and matches, ownership from two counts."""
+    secret = secret_ownership
+    patterns = {"assign": secret.ASSIGN, "access": secret.ACCESS, "hex": secret.HEX, **secret.EXTRA, "generic": secret.GENERIC}
+    quoted = {k: v.replace("'", "''") for k, v in patterns.items()}
+    rows = ", ".join(f"('{k}', {i}, '{v}', {secret.LEAST.get(k, 0)})" for i, (k, v) in enumerate(quoted.items()))
+    random = "(regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 8)"
+    base = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS x FROM documents),
+p(kind, rank, pat, least) AS (VALUES {rows}),
+m AS (SELECT rid, owner, kind, rank, least, regexp_extract_all(x, pat) AS ms, string_split_regex(x, pat) AS ps FROM t, p),
+e AS (SELECT rid, owner, kind, rank, least, i, ms[i] AS hit, ps[i] AS pre FROM m, LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i)),
+s AS (SELECT *, sum(length(pre) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS fin,
+  CASE WHEN kind = 'assign' THEN regexp_extract(hit, '{quoted["assign"]}', 2) ELSE hit END AS value FROM e),
+f AS (SELECT rid, owner, kind, rank, fin - length(hit) AS start, fin, value, {random} AS random FROM s
+  WHERE length(value) >= least AND (kind <> 'generic' OR ({random} AND NOT regexp_matches(value, '^[0-9a-f]+$')))),
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT rid) AS repos FROM f GROUP BY value),
+j AS (SELECT f.*, CASE WHEN owners >= {secret.EXAMPLE_OWNERS} OR repos >= {secret.EXAMPLE_REPOSITORIES} THEN 'example'
+  WHEN owners = 1 AND random THEN 'live' ELSE 'unsure' END AS verdict FROM f JOIN o USING (value)),
+k AS (SELECT *, kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(fin AS VARCHAR) AS span FROM j WHERE kind <> 'generic' OR verdict = 'live'),
+a AS (SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example,
+  string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE {base}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM t LEFT JOIN a USING (rid)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_ownership": _secret_sql(),
     "op2_winnowing": r"""
 WITH d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
