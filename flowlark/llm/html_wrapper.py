@@ -27,7 +27,7 @@ from .shared import materialize
 
 #: Share of a host's distinct pages that hold a constant node, and how many
 #: pages there must be; inside a marked article both are stricter.
-SHARE, SUPPORT = 0.5, 3
+SHARE, SUPPORT = 0.6, 4
 ARTICLE_SHARE, ARTICLE_SUPPORT = 0.8, 20
 #: Wrappers (host, shape) with constants up to this many are broadcast.
 BROADCAST_WRAPPERS = 50_000
@@ -62,6 +62,10 @@ _BOILER = frozenset(
 )
 #: These too, but not inside an article.
 _BOILER_OUTSIDE = frozenset(("header", "headers", "head", "top", "meta"))
+#: Parts of class names and ids of what may be the article where no element says so.
+_CONTENT = frozenset("article content entry main post story".split())
+#: Share of a page's visible text that such an element must hold.
+CONTENT_SHARE = 0.6
 #: What the end of an element implies: an open tag closes these before it.
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -121,6 +125,8 @@ def _new(tag: str, text: str, parent: Node) -> Node:
         or (inside is None and (tag == "header" or (tag not in ("html", "body", "article", "main") and bool(names & _BOILER_OUTSIDE))))
     )
     marked = "" if hidden else "article" if tag == "article" else "main" if tag == "main" or role == "main" else ""
+    if not hidden and not marked and tag in ("div", "section", "td") and names & _CONTENT:
+        marked = "content"
     first = next(iter(sorted(x for x in names if not x.isdigit())), "")
     return Node(tag, f"{tag}.{first}" if first else tag, parent, hidden, marked)
 
@@ -316,7 +322,7 @@ def slots(shape: str, template: str) -> list[int]:
 
 
 def page_blocks(page: str) -> tuple[str, bool, list[tuple[int, str]]]:
-    """A page's shape, whether it marks its article, and (node, text) of the blocks that may be content."""
+    """A page's shape, whether an element is its article, and (node, text) of the blocks that may be content."""
     root, blocks = parse(page)
     shape = fold(root)
     regions: dict[int, tuple[Node, int]] = {}
@@ -324,12 +330,16 @@ def page_blocks(page: str) -> tuple[str, bool, list[tuple[int, str]]]:
         top = {n.marked: n for n in _above(node) if n.marked}  # the outermost of each kind
         for n in top.values():
             regions[id(n)] = (n, regions.get(id(n), (n, 0))[1] + len(text))
+    least = CONTENT_SHARE * sum(len(t) for _, t in blocks)
+    rank = {"article": 2, "main": 1, "content": 0}
     best = max(
-        (x for x in regions.values()), key=lambda x: (x[0].marked == "article", x[1]), default=(None, 0)
+        (x for x in regions.values() if x[0].marked != "content" or x[1] >= least),
+        key=lambda x: (rank[x[0].marked], x[1]),
+        default=(None, 0),
     )[0]
     if best is not None:
         kept = [(n.index, t) for n, t in blocks if any(x is best for x in _above(n)) and not _byline(n, best)]
-        return shape, True, kept
+        return shape, best.marked != "content", kept
     return shape, False, [(n.index, t) for n, t in blocks]
 
 

@@ -28,6 +28,8 @@ SITE = (
         ("<p>a < b and <notatag>kept</notatag>", "a < b and kept"),
         ("<p hidden>no</p><div style='display: none'>no</div><span class=ad>no</span><p>yes", "yes"),
         ("", ""),
+        ("<div id=content><h1>H</h1><p>the story is told here</p></div><div><p>links</p></div>", "H\nthe story is told here"),
+        ("<div class=post>one</div><div class=post>two</div><p>three and much more of it</p>", "one\ntwo\nthree and much more of it"),
     ],
 )
 def test_blocks(body, text):
