@@ -44,6 +44,8 @@ HOST_WEIGHT = 20.0
 TABLE_WEIGHT = 2.0
 #: What the priors give the class of no known language.
 UNKNOWN_PRIOR = 1e-3
+#: Parts into which the rows of one host, language or suffix are dealt for the joins.
+SALTS = 16
 #: Least posterior of the best language of an accepted row.
 ACCEPT = 0.5
 UNKNOWN = "und"
@@ -196,10 +198,12 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, markup: b
 
     everyone = F.array(*flat)
     ones = F.array(*[F.lit(1.0)] * n)
+    salted = lambda t: t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = (
-        scored.join(hosts, "host", "left")
-        .join(likelihood("declared"), "declared", "left")
-        .join(likelihood("suffix"), "suffix", "left")
+        scored.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int"))
+        .join(salted(hosts), ["host", "salt"], "left")
+        .join(salted(likelihood("declared")), ["declared", "salt"], "left")
+        .join(salted(likelihood("suffix")), ["suffix", "salt"], "left")
         .select(
             "id", "key", "loglik",
             F.coalesce("prior", everyone).alias("prior"),
