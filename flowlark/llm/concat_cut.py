@@ -29,9 +29,9 @@ from .shared import materialize
 WINDOW = 4096
 END_ID = 2
 #: Words, and parts of words in each of two generations, whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Text encoded at once; the more, the fewer words are looked up twice.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
