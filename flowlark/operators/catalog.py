@@ -55,11 +55,16 @@ def nested_consumers(consumers: DataFrame) -> DataFrame:
 
 
 def stream_verdicts(requests: DataFrame, streams: DataFrame) -> DataFrame:
-    """Create-stream requests with ``verdict``: created, exists, or why not."""
+    """Create-stream requests with ``verdict``: created, exists, or why not.
+
+    Requests of one table that overlap refuse each other; those that are
+    invalid by themselves count for nothing.
+    """
     have = streams.select("name", F.col("filter").alias("__have"))
     checked = requests.join(have, "name", "left")
-    others = requests.select("name", "filter").withColumn("__new", F.lit(1)).unionByName(
-        streams.select("name", "filter").join(requests.select("name"), "name", "left_anti").withColumn("__new", F.lit(0))
+    sound = requests.where(S.valid_name("name") & S.valid_subject("filter") & (F.col("filter") != ">"))
+    others = sound.select("name", "filter").withColumn("__new", F.lit(1)).unionByName(
+        streams.select("name", "filter").join(sound.select("name"), "name", "left_anti").withColumn("__new", F.lit(0))
     )
     clash = overlapping_streams(others)
     clash = clash.select(F.col("a").alias("name")).union(clash.select(F.col("b").alias("name"))).distinct().withColumn("__clash", F.lit(True))

@@ -573,12 +573,17 @@ def stream_overlap_violations(spark, d):
     return catalog.overlapping_streams(spark.createDataFrame(_STREAM_FILTERS, "name string, filter string"))
 
 
-@query()
+_ASKS = [  # requests beside the streams old (old.>) and log (log.*), and their verdicts
+    ("new", "new.>", "created"), ("old", "old.>", "exists"), ("log", "log.>", "filter_changed"), ("all", ">", "filter_too_wide"),
+    ("none", "", "filter_missing"), ("bad name", "x", "name_invalid_char"), ("clash", "old.a", "filter_overlaps"), ("odd", "a..b", "filter_invalid_char"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str(a) for a in _ASKS)}) AS t(name, filter, verdict)")
 def stream_admission(spark, d):
     """A verdict for each request to create a stream."""
     have = spark.createDataFrame([("old", "old.>"), ("log", "log.*")], "name string, filter string")
-    asks = [("new", "new.>"), ("old", "old.>"), ("log", "log.>"), ("all", ">"), ("none", ""), ("bad name", "x"), ("clash", "old.a"), ("odd", "a..b")]
-    return catalog.stream_verdicts(spark.createDataFrame(asks, "name string, filter string"), have)
+    return catalog.stream_verdicts(spark.createDataFrame([a[:2] for a in _ASKS], "name string, filter string"), have)
 
 
 @query(f"WITH {_M}, t AS (SELECT event_type, ts_ms // {DAY_MS} AS day, count(*) AS n FROM m GROUP BY ALL), c AS (SELECT event_type, day, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY day) AS BIGINT) AS total FROM t) SELECT event_type, day, total, greatest(total - coalesce(lag(total) OVER (PARTITION BY event_type ORDER BY day), 0), 0) AS delta FROM c")
