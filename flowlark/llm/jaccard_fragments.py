@@ -368,8 +368,10 @@ class Join:
             if not last:
                 rows = self.with_components(rows.drop("component"), found)
         merged = components(found)
-        grouped = self.classes.join(merged, "node", "left").select(
-            "sig", F.coalesce("component", "node").alias("component")
+        # written, so that rows meet it in a plain join, which Spark can split where many share a set
+        grouped = materialize(
+            self.classes.join(merged, "node", "left").select("sig", F.coalesce("component", "node").alias("component")),
+            "jaccard-classes",
         )
         # all rows of one id are one document, and the smallest id names its component
         by_id = (
