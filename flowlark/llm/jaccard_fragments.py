@@ -205,28 +205,30 @@ def prefixes(documents: DataFrame, words: int, percent: int, level: object) -> D
 
 
 def fragments_of(documents: DataFrame, words: int, level: object, at: np.ndarray) -> DataFrame:
-    """``node, fragment, part``: the shingles of each document in each fragment of the order."""
+    """``node, sig, fragment, part``: the shingles of each document in each fragment of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _sets(batches, words):
-            ids, number, parts = [], [], []
+            ids, signs, number, parts = [], [], [], []
             for k, s in enumerate(sets):
+                sign = _signature(s)
                 for f, part in enumerate(np.split(o := ordered(s, level.value), np.searchsorted(o, at))):
                     if len(part):
                         ids.append(k)
+                        signs.append(sign)
                         number.append(f)
                         parts.append(part.astype(np.int64))
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece["id"].take(pa.array(ids, type=pa.int64())), pa.array(number, type=pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    piece["id"].take(pa.array(ids, type=pa.int64())), pa.array(signs, type=pa.binary()),
+                    pa.array(number, type=pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["node", "fragment", "part"],
+                names=["node", "sig", "fragment", "part"],
             )
 
-    return documents.mapInArrow(run, "node long, fragment int, part array<long>")
+    return documents.mapInArrow(run, "node long, sig binary, fragment int, part array<long>")
 
 
 def needed(n1: Column, n2: Column, percent: int) -> Column:
@@ -255,6 +257,7 @@ class Join:
         self.level, self.cuts = spark.sparkContext.broadcast(level), cuts(level)
         # rows that share an id: the least signature stands for the document
         one = self.rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("sig", "n")).alias("s")).select("id", "s.sig", "s.n")
+        self.repeats = not self.rows.groupBy("id").count().where("id IS NOT NULL AND count > 1").isEmpty()
         self.classes = one.where(F.col("n") > 0).groupBy("sig").agg(F.min("id").alias("node"))
 
     def buckets(self) -> DataFrame:
@@ -262,7 +265,8 @@ class Join:
         made = materialize(prefixes(self.documents, self.words, self.percent, self.level), "jaccard-prefixes")
         nodes = self.classes.select(F.col("node").alias("id"), "sig")
         chosen = made.join(nodes, ["id", "sig"], "left_semi")
-        self.bits = chosen.select(F.col("id").alias("node"), "bits")
+        bits = chosen.select(F.col("id").alias("node"), "n", "bits")
+        self.bits = materialize(bits.dropDuplicates(["node"]) if self.repeats else bits, "jaccard-parity")
         rows = chosen.select("id", "n", F.posexplode("prefix").alias("place", "token")).select(
             "token", F.col("id").alias("node"), (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np")
         )
@@ -284,7 +288,15 @@ class Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The candidate pairs ``a, b`` that reach the threshold."""
-        pairs = materialize(pairs.distinct(), "jaccard-pairs")
+        a, b = (self.bits.select(*[F.col(c).alias(f"{side}_{c}") for c in self.bits.columns]) for side in "xy")
+        pairs = materialize(
+            pairs.distinct()
+            .join(a, F.col("a") == F.col("x_node"))
+            .join(b, F.col("b") == F.col("y_node"))
+            .where(self.close())
+            .select("a", "b"),
+            "jaccard-pairs",
+        )
         nodes = materialize(
             pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-nodes"
         )
@@ -293,17 +305,17 @@ class Join:
             wanted = keyed.join(F.broadcast(nodes), keyed["id"] == nodes["node"], "left_semi")
         else:
             wanted = keyed.join(nodes, keyed["id"] == nodes["node"], "left_semi")
-        # where rows share an id, the sets of the one that stands for it
         parts = fragments_of(wanted, self.words, self.level, self.cuts)
-        parts = materialize(parts.groupBy("node", "fragment").agg(F.max("part").alias("part")), "jaccard-parts")
+        if self.repeats:  # the set that stands for an id, once
+            own = self.classes.select("node", "sig")
+            parts = parts.join(own, ["node", "sig"], "left_semi").dropDuplicates(["node", "fragment"])
+        parts = materialize(parts.drop("sig"), "jaccard-parts")
         left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x"))
         right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y"))
         partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
             "a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")
         )
-        sizes = materialize(
-            parts.groupBy("node").agg(F.sum(F.size("part")).cast("long").alias("n")), "jaccard-sizes"
-        )
+        sizes = parts.groupBy("node").agg(F.sum(F.size("part")).cast("long").alias("n"))
         summed = (
             partial.groupBy("a", "b")
             .agg(F.sum("shared").alias("shared"))
@@ -315,6 +327,14 @@ class Join:
             summed.where(100 * F.col("shared") >= self.percent * union).select("a", "b"), "jaccard-links"
         )
 
+    def close(self) -> Column:
+        """Whether the parity maps of ``x`` and ``y`` allow a link."""
+        differ = F.aggregate(
+            F.zip_with("x_bits", "y_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k
+        )
+        n1, n2 = F.col("x_n"), F.col("y_n")
+        return differ <= n1 + n2 - 2 * needed(n1, n2, self.percent)
+
     def with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """Bucket rows with the component so far, of buckets that hold several."""
         known = components(links)
@@ -344,18 +364,13 @@ class Join:
         The parity maps are looked at last, for what the places allow.
         """
         names = ("node", "n", "place", "component", "bits")
-        rows = rows.join(self.bits.dropDuplicates(["node"]), "node")
+        rows = rows.join(self.bits.select("node", "bits"), "node")
         x = rows.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
         y = rows.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in names])
         near = possible(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"), self.percent)
         same = F.col("x_token") == F.col("y_token")
         apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
-        differ = F.aggregate(
-            F.zip_with("x_bits", "y_bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k
-        )
-        n1, n2 = F.col("x_n"), F.col("y_n")
-        close = differ <= n1 + n2 - 2 * needed(n1, n2, self.percent)
-        return x.join(y, same & apart & near & close).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        return x.join(y, same & apart & near & self.close()).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
     def run(self) -> DataFrame:
         """``id, n, component`` of each row."""
