@@ -73,14 +73,20 @@ _CLOSES = {
     "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",),
 }
 _SCOPE = frozenset("ul ol dl table html body article section div main td th select menu".split())
+#: As HTML's tokenizer reads it: a quote opens a value only right behind ``=``.  Where it is never
+#: closed it is part of a name, and the tag ends at the next ``>``.
+_PAIR = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+"""
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[^<]+|<""",
+    rf"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{re.sub(r"\((?!\?)", "(?:", _PAIR)})*+)>|[^<]+|<""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:@-][^\s=/>"']*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+#: A tag whose last quote is closed behind all ``>``, or never.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRIBUTE = re.compile(_PAIR)
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 _SPACES = re.compile(r"\s+")
+_LETTER = re.compile("[a-zA-Z]")
 
 
 class Node:
@@ -148,12 +154,14 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     lowered = None
     while at < size:
         found = _TOKEN.match(page, at)
+        if found[0] == "<":
+            found = _LOOSE.match(page, at) or found
         at = found.end()
         tag = found[2]
         if tag is None:
             text = found[0]
             if not text.startswith(("<!", "<?")) and not inline_hidden:
-                if text == "<" and page[at : at + 1].isalpha():  # a tag that never ends
+                if text == "<" and _LETTER.match(page, at):  # a tag that never ends
                     break
                 parts.append(html_entities.unescape(text) if "&" in text else text)
             continue

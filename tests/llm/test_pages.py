@@ -44,6 +44,24 @@ def test_odd_markup_is_read():
     assert html_wrapper.page_blocks(deep)[2][0][1] == "deep"
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<p>one</p><img alt=it's><p>two</p>", "one\ntwo"),
+        ("<p class=\"a\"\">one</p><p>two</p>", "one\ntwo"),
+        ("<p class=\"a\"\">one \"two\" three</p><p>four</p>", 'one "two" three\nfour'),
+        ("<p title='never closed>one</p><p>two</p>", "one\ntwo"),
+        ("<p>one</p \"><p>two", "one\ntwo"),
+        ("<p>one <é two</p><p>three</p>", "one <é two\nthree"),
+        ("<p title=\"1 > 0\" data-x='a\">b'>one</p><p title = x/y'z hidden>no</p><p>two</p>", "one\ntwo"),
+    ],
+)
+def test_stray_quotes_end_with_their_tag(body, text):
+    _, _, blocks = html_wrapper.page_blocks(f"<html><body>{body}</body></html>")
+    assert "\n".join(t for _, t in blocks) == text
+    assert [t for _, t in html_wrapper.page_blocks('<p>one<p title="a>two" ')[2]] == ["one", 'two"']
+
+
 def test_simple_tree_matching():
     a, b = (html_wrapper.unfold(x) for x in ("0:r;1:a;2:x;1:b;1:c", "0:r;1:b;1:a;2:x;1:d;1:c"))
     size, pairs = html_wrapper.simple_tree_matching(a, b)
