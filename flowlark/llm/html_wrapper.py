@@ -62,6 +62,10 @@ _BOILER = frozenset(
 )
 #: These too, but not inside an article.
 _BOILER_OUTSIDE = frozenset(("header", "headers", "head", "top", "meta"))
+#: Of these names only those of comments are believed where an element holds most of a page's text.
+_COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+#: These also tell a layout ("has-sidebar", "top"), so that a single block may be the text.
+_LAYOUT = frozenset("sidebar sidebars header headers head top meta".split())
 #: Parts of class names and ids of what may be the article where no element says so.
 _CONTENT = frozenset("article content entry main post story".split())
 #: Share of a page's visible text that such an element must hold.
@@ -90,12 +94,16 @@ _LETTER = re.compile("[a-zA-Z]")
 
 
 class Node:
-    """A block element."""
+    """A block element; ``named`` are the words that hide it by name, if its contents don't speak against it."""
 
-    __slots__ = ("tag", "label", "parent", "children", "depth", "hidden", "shape", "index", "marked")
+    __slots__ = ("tag", "label", "parent", "children", "depth", "hidden", "shape", "index", "marked", "named")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, hidden: bool, marked: str = ""):
+    def __init__(
+        self, tag: str, label: str, parent: Node | None, hidden: bool, marked: str = "",
+        named: frozenset[str] | set[str] = frozenset(),
+    ):
         self.tag, self.label, self.parent, self.hidden, self.marked = tag, label, parent, hidden, marked
+        self.named = named
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
         self.shape, self.index = "", 0
@@ -126,15 +134,59 @@ def _new(tag: str, text: str, parent: Node) -> Node:
         parent.hidden or tag in _HIDDEN or role in _HIDDEN_ROLES or "hidden" in attributes
         or attributes.get("aria-hidden") == "true"
         or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
-        or (tag not in ("html", "body", "article", "main") and bool(names & _BOILER))
         or (tag == "article" and bool(names & {"comment", "comments", "teaser", "related", "promo", "ad", "ads", "sponsored", "reply"}))
-        or (inside is None and (tag == "header" or (tag not in ("html", "body", "article", "main") and bool(names & _BOILER_OUTSIDE))))
+        or (inside is None and tag == "header")
     )
+    named: set[str] = set()
+    if not hidden and tag not in ("html", "body", "article", "main"):
+        named = names & (_BOILER if inside is not None else _BOILER | _BOILER_OUTSIDE)
     marked = "" if hidden else "article" if tag == "article" else "main" if tag == "main" or role == "main" else ""
     if not hidden and not marked and tag in ("div", "section", "td") and names & _CONTENT:
         marked = "content"
     first = next(iter(sorted(x for x in names if not x.isdigit())), "")
-    return Node(tag, f"{tag}.{first}" if first else tag, parent, hidden, marked)
+    return Node(tag, f"{tag}.{first}" if first else tag, parent, hidden, marked, named)
+
+
+def _hide_named(root: Node, blocks: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """Hides the elements that their names say aren't the article; the blocks that are left.
+
+    A name is not believed where the element holds an article or main, unless
+    the page has more text in others, nor where it holds most of the page's
+    text, in several blocks unless it may be named after the layout.  An element named after comments, which often are
+    most of the text, must hold the first heading too.  Inside of an article
+    an article in it doesn't count: those are comments or cards.
+    """
+    texts: dict[Node, list[int]] = {}  # of a named element: characters, blocks, characters in articles
+    total = articles = 0
+    holds: set[Node] = set()
+    for node, text in blocks:
+        above = list(_above(node))
+        outermost = next((i for i in range(len(above) - 1, -1, -1) if above[i].marked in ("article", "main")), -1)
+        total += len(text)
+        articles += len(text) if outermost >= 0 else 0
+        if not holds and any(n.tag in _HEADINGS for n in above):
+            holds = set(above)
+        for i, n in enumerate(above):
+            if n.named:
+                held = texts.setdefault(n, [0, 0, 0])
+                held[0] += len(text)
+                held[1] += 1
+                held[2] += len(text) if i > outermost >= 0 else 0
+
+    def believed(n: Node) -> bool:
+        size, count, marked = texts.get(n, (0, 0, 0))
+        if marked and 2 * marked >= articles:
+            return False
+        several = count > 1 or n.named <= _LAYOUT
+        return not (2 * size > total and several and (n in holds or not n.named & _COMMENTS))
+
+    pending = [root]
+    while pending:
+        node = pending.pop()
+        if node.parent is not None and (node.parent.hidden or node.named and believed(node)):
+            node.hidden, node.marked = True, ""
+        pending += node.children
+    return [(n, t) for n, t in blocks if not n.hidden]
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -217,7 +269,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         here.children.append(child)
         here = child
     flush()
-    return root, blocks
+    return root, _hide_named(root, blocks)
 
 
 def _above(node: Node | None) -> Iterator[Node]:

@@ -62,6 +62,24 @@ def test_stray_quotes_end_with_their_tag(body, text):
     assert [t for _, t in html_wrapper.page_blocks('<p>one<p title="a>two" ')[2]] == ["one", 'two"']
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<div class="site has-sidebar"><article><h1>H</h1><p>x</p></article><div class=sidebar>links</div></div>', "H\nx"),
+        ('<div class="no-sidebar"><div id="top"><main><p>all of it</p></main></div></div>', "all of it"),
+        ('<div id="top"><h1>H</h1><p>the story is told here</p><p>and goes on</p></div><div class=sidebar>links</div>', "H\nthe story is told here\nand goes on"),
+        ('<div class="has-sidebar">all the text of this page</div>', "all the text of this page"),
+        ('<article><div class="no-sidebar"><h1>H</h1><p>the story is told here</p></div></article>', "H\nthe story is told here"),
+        ('<article><h1>H</h1><p>the story</p></article><div class=related><article><h2>Other</h2></article></div>', "H\nthe story"),
+        ('<article><h1>H</h1><p>x</p><div id=comments><p>much longer than it</p><p>and more</p></div></article>', "H\nx"),
+        ('<div class="comments-open"><h1>H</h1><p>the story is told here</p></div><p>x</p>', "H\nthe story is told here\nx"),
+    ],
+)
+def test_layout_names_hide_no_content(body, text):
+    _, _, blocks = html_wrapper.page_blocks(SITE.format(body=body))
+    assert "\n".join(t for _, t in blocks) == text
+
+
 def test_simple_tree_matching():
     a, b = (html_wrapper.unfold(x) for x in ("0:r;1:a;2:x;1:b;1:c", "0:r;1:b;1:a;2:x;1:d;1:c"))
     size, pairs = html_wrapper.simple_tree_matching(a, b)
