@@ -68,7 +68,8 @@ _COMMENTS = frozenset("comment comments commentlist discussion disqus replies re
 _LAYOUT = frozenset("sidebar sidebars header headers head top meta".split())
 #: Parts of class names and ids of what may be the article where no element says so.
 _CONTENT = frozenset("article content entry main post story".split())
-#: Share of a page's visible text that such an element must hold.
+#: Share of a page's visible text that such elements must hold; of the text in articles and
+#: mains, what articles must hold to be preferred; marks with less than the rest aren't believed.
 CONTENT_SHARE = 0.6
 #: What the end of an element implies: an open tag closes these before it.
 _CLOSES = {
@@ -382,25 +383,40 @@ def slots(shape: str, template: str) -> list[int]:
 
 
 def page_blocks(page: str) -> tuple[str, bool, list[tuple[int, str]]]:
-    """A page's shape, whether an element is its article, and (node, text) of the blocks that may be content."""
+    """A page's shape, whether an element is its article, and (node, text) of the blocks that may be content.
+
+    These are all outermost articles, or with them all mains where articles
+    hold less than CONTENT_SHARE of the marked text, and the headings before
+    the last of them.  Where most of the page is outside of these, the elements
+    named as content are taken likewise if together they hold CONTENT_SHARE of
+    the page, else the whole page.
+    """
     root, blocks = parse(page)
     shape = fold(root)
-    regions: dict[int, tuple[Node, int]] = {}
-    for node, text in blocks:
-        top = {n.marked: n for n in _above(node) if n.marked}  # the outermost of each kind
-        for n in top.values():
-            regions[id(n)] = (n, regions.get(id(n), (n, 0))[1] + len(text))
-    least = CONTENT_SHARE * sum(len(t) for _, t in blocks)
-    rank = {"article": 2, "main": 1, "content": 0}
-    best = max(
-        (x for x in regions.values() if x[0].marked != "content" or x[1] >= least),
-        key=lambda x: (rank[x[0].marked], x[1]),
-        default=(None, 0),
-    )[0]
-    if best is not None:
-        kept = [(n.index, t) for n, t in blocks if any(x is best for x in _above(n)) and not _byline(n, best)]
-        return shape, best.marked != "content", kept
-    return shape, False, [(n.index, t) for n, t in blocks]
+    kinds = ("article", "main", "content")
+    above = [{n.marked: n for n in _above(node) if n.marked} for node, _ in blocks]  # the outermost of each kind
+    size = dict.fromkeys((*kinds, "page", "marked"), 0)
+    for tops, (_, text) in zip(above, blocks, strict=True):
+        for kind in (*tops, "page", *(["marked"] if "article" in tops or "main" in tops else [])):
+            size[kind] += len(text)
+    if size["marked"] and size["marked"] > (1 - CONTENT_SHARE) * size["page"]:
+        # beside articles that hold most of it, the rest of a main is no content
+        trusted = kinds[:1] if size["article"] >= CONTENT_SHARE * size["marked"] else kinds[:2]
+    elif size["content"] and size["content"] >= CONTENT_SHARE * size["page"]:
+        trusted = kinds[2:]
+    else:
+        return shape, False, [(n.index, t) for n, t in blocks]
+    kept, waiting = [], []
+    for tops, (node, text) in zip(above, blocks, strict=True):
+        inside = [tops[k] for k in trusted if k in tops]
+        if inside:
+            kept += waiting
+            waiting = []
+            if not _byline(node, min(inside, key=lambda n: n.depth)):
+                kept.append((node.index, text))
+        elif any(n.tag in _HEADINGS for n in _above(node)):
+            waiting.append((node.index, text))  # a heading of the region that follows
+    return shape, trusted[0] == "article", kept
 
 
 def _byline(node: Node, region: Node) -> bool:

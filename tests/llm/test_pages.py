@@ -80,6 +80,22 @@ def test_layout_names_hide_no_content(body, text):
     assert "\n".join(t for _, t in blocks) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<article><p>part one is longer</p></article><article><p>part two</p></article>", "part one is longer\npart two"),
+        ("<main><h2>H</h2><p>a long main with all that there is to tell</p><article>card</article></main>", "H\na long main with all that there is to tell\ncard"),
+        ("<main><p>a long main with all that there is to tell</p></main><article>card</article>", "a long main with all that there is to tell\ncard"),
+        ("<main><h1>Head</h1><p>by</p><article><p>the story is told here</p></article><h2>More</h2><p>a</p></main>", "Head\nthe story is told here"),
+        ("<h1>Head</h1><div class=post><p>the story is told here</p></div><p>links</p><div class=post>part two</div>", "Head\nthe story is told here\npart two"),
+        ("<div><p>a page of much more text than there is in its card</p><article>card</article></div>", "a page of much more text than there is in its card\ncard"),
+    ],
+)
+def test_all_regions_are_kept(body, text):
+    _, _, blocks = html_wrapper.page_blocks(SITE.format(body=body))
+    assert "\n".join(t for _, t in blocks) == text
+
+
 def test_simple_tree_matching():
     a, b = (html_wrapper.unfold(x) for x in ("0:r;1:a;2:x;1:b;1:c", "0:r;1:b;1:a;2:x;1:d;1:c"))
     size, pairs = html_wrapper.simple_tree_matching(a, b)
