@@ -6,7 +6,8 @@ the commonest shape is the template tree, and every other shape of the host is
 aligned with it by simple tree matching, once for each shape and not for each
 page.  Counting what stands in the aligned nodes over all distinct pages of the
 host tells constant nodes, which are template and go, from varying slots, which
-are content.  Elements that name their role (nav, footer, ads, comments, ...)
+are content.  Pages that differ in little beside what looks constant are near
+copies and count as one page; an article's nodes are content even if constant.  Elements that name their role (nav, footer, ads, comments, ...)
 and the region that is marked as the article are known without a wrapper.
 """
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +27,11 @@ from .arrowtools import slices
 from .shared import materialize
 
 #: Share of a host's distinct pages that hold a constant node, and how many
-#: pages there must be; inside a marked article both are stricter.
+#: pages there must be; inside a marked main both are stricter.
 SHARE, SUPPORT = 0.6, 4
 ARTICLE_SHARE, ARTICLE_SUPPORT = 0.8, 20
+#: Pages whose constant nodes hold more than this share of the text are near copies.
+NEAR_SHARE = 0.75
 #: Wrappers (host, shape) with constants up to this many are broadcast.
 BROADCAST_WRAPPERS = 50_000
 SALTS = 32
@@ -382,8 +385,8 @@ def slots(shape: str, template: str) -> list[int]:
     return out
 
 
-def page_blocks(page: str) -> tuple[str, bool, list[tuple[int, str]]]:
-    """A page's shape, whether an element is its article, and (node, text) of the blocks that may be content.
+def page_blocks(page: str) -> tuple[str, str, list[tuple[int, str]]]:
+    """A page's shape, "article" or "main" if these are its content, else "", and (node, text) of the blocks that may be content.
 
     These are all outermost articles, or with them all mains where articles
     hold less than CONTENT_SHARE of the marked text, and the headings before
@@ -405,7 +408,7 @@ def page_blocks(page: str) -> tuple[str, bool, list[tuple[int, str]]]:
     elif size["content"] and size["content"] >= CONTENT_SHARE * size["page"]:
         trusted = kinds[2:]
     else:
-        return shape, False, [(n.index, t) for n, t in blocks]
+        return shape, "", [(n.index, t) for n, t in blocks]
     kept, waiting = [], []
     for tops, (node, text) in zip(above, blocks, strict=True):
         inside = [tops[k] for k in trusted if k in tops]
@@ -416,7 +419,7 @@ def page_blocks(page: str) -> tuple[str, bool, list[tuple[int, str]]]:
                 kept.append((node.index, text))
         elif any(n.tag in _HEADINGS for n in _above(node)):
             waiting.append((node.index, text))  # a heading of the region that follows
-    return shape, trusted[0] == "article", kept
+    return shape, "" if trusted == kinds[2:] else trusted[-1], kept
 
 
 def _byline(node: Node, region: Node) -> bool:
@@ -440,7 +443,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     schema = T.StructType(
         [
             rows.schema["page_id"], rows.schema["url"], T.StructField("host", T.StringType()),
-            T.StructField("shape", T.StringType()), T.StructField("marked", T.BooleanType()),
+            T.StructField("shape", T.StringType()), T.StructField("marked", T.StringType()),
             T.StructField("blocks", T.ArrayType(block)),
         ]
     )
@@ -455,7 +458,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                     [
                         piece["page_id"], piece["url"], piece["host"],
                         pa.array([f[0] for f in found], type=pa.string()),
-                        pa.array([f[1] for f in found], type=pa.bool_()),
+                        pa.array([f[1] for f in found], type=pa.string()),
                         pa.array(texts, type=kind),
                     ],
                     names=schema.names,
@@ -464,11 +467,43 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def _is_constant(b: Column) -> Column:
+    return F.array_contains(
+        F.col("constants"),
+        F.struct(
+            F.get("slot_of", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("text"), F.col("marked").alias("marked")
+        ),
+    )
+
+
+def _with_varying(rows: DataFrame, known: DataFrame, broadcast_limit: int) -> DataFrame:
+    """The pages with their wrappers, and as ``varying`` their blocks that aren't constant."""
+    if known.count() <= broadcast_limit:
+        joined = rows.join(F.broadcast(known), ["host", "shape"], "left")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(salted, ["host", "shape", "salt"], "left")
+    varying = F.when(F.col("constants").isNull(), F.col("blocks")).otherwise(
+        F.filter("blocks", lambda b: ~F.coalesce(_is_constant(b), F.lit(False)))
+    )
+    return joined.withColumn("varying", varying)
+
+
+def _least(pages: Column) -> Column:
+    """How many of a host's pages must hold a constant."""
+    return F.when(F.col("marked") != "", F.greatest(F.lit(ARTICLE_SUPPORT), ARTICLE_SHARE * pages)).otherwise(
+        F.greatest(F.lit(SUPPORT), SHARE * pages)
+    )
+
+
+def wrappers(pages: DataFrame, broadcast_limit: int = BROADCAST_WRAPPERS) -> DataFrame:
     """``host, shape, slot_of, constants`` where a host has constant nodes.
 
     ``constants`` are (slot, hash of text, marked); a text that is constant
-    stands on more than SHARE of the pages, so each slot has few of them.
+    stands on more than SHARE of the pages, so each slot has few of them.  They
+    are counted twice: what seems constant at first tells the near copies, and
+    then all near copies of a host are one page.
     """
     # copies of one page say nothing about the template
     distinct = pages.select(
@@ -494,7 +529,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         pages.select("host", "shape").distinct().join(enough.select("host", "template"), "host").mapInArrow(align, schema),
         "wrapper-slots",
     )
-    blocks = distinct.select(
+    blocks = distinct.where(F.col("marked") != "article").select(
         "host", "shape", "sig", "marked", F.explode(F.array_distinct("blocks")).alias("b")
     ).select("host", "shape", "sig", "marked", "b.node", F.xxhash64("b.text").alias("text"))
     held = (
@@ -508,10 +543,35 @@ def wrappers(pages: DataFrame) -> DataFrame:
         .where(F.col("n") >= SUPPORT)
         .join(enough.select("host", "pages"), "host")
     )
-    least = F.when(F.col("marked"), F.greatest(F.lit(ARTICLE_SUPPORT), ARTICLE_SHARE * F.col("pages"))).otherwise(
-        F.greatest(F.lit(SUPPORT), SHARE * F.col("pages"))
+    constants = held.where(F.col("n") >= _least(F.col("pages"))).groupBy("host").agg(
+        F.collect_list(F.struct("slot", "text", "marked")).alias("constants")
+    )
+    seeming = materialize(aligned.join(constants, "host"), "wrapper-seeming")
+
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, b: n + F.char_length(b["text"]))
+    judged = (
+        _with_varying(pages.where((F.col("marked") != "article") & (F.size("blocks") > 0)), seeming, broadcast_limit)
+        .where(F.col("constants").isNotNull())
+        .withColumn("sig", F.xxhash64(F.col("blocks.text")))
+        .withColumn("near", size("varying") < (1 - NEAR_SHARE) * size("blocks"))
+    )
+    near = judged.where("near").select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("n_near"))
+    slot = lambda b: F.struct(F.get("slot_of", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("text"))
+    again = (
+        judged.select(
+            "host",
+            "marked",
+            F.when(~F.col("near"), F.col("sig")).alias("sig"),
+            F.explode(F.array_distinct(F.transform(F.filter("blocks", _is_constant), slot))).alias("c"),
+        )
+        .distinct()
+        .groupBy("host", "c.slot", "marked", "c.text")
+        .agg(F.count("*").alias("n"))
+        .join(enough.select("host", "pages"), "host")
+        .join(near, "host", "left")
     )
-    constants = held.where(F.col("n") >= least).groupBy("host").agg(
+    n_pages = F.coalesce(F.col("pages") - F.col("n_near") + 1, F.col("pages"))
+    constants = again.where(F.col("n") >= _least(n_pages)).groupBy("host").agg(
         F.collect_list(F.struct("slot", "text", "marked")).alias("constants")
     )
     return aligned.join(constants, "host")
@@ -523,28 +583,14 @@ def extract(pages: DataFrame, broadcast_limit: int = BROADCAST_WRAPPERS) -> Data
     Blocks are joined by one line feed.  A null or empty html, and markup
     without text, give an empty text.  Pages without a host, or of a host with
     fewer than SUPPORT distinct pages, have no wrapper and rely on marked
-    regions and roles.  Where a page consists of constant nodes alone these are
+    regions and roles, and so do articles.  Near copies that share less than
+    NEAR_SHARE of their text can't be told from a template.  Where a page consists of constant nodes alone these are
     its content.  Repeated rows are answered one by one; rows of null page_id
     likewise; other columns are not read.
     """
     rows = materialize(parsed(pages), "wrapper-pages")
-    known = materialize(wrappers(rows), "wrapper-constants")
-    if known.count() <= broadcast_limit:
-        joined = rows.join(F.broadcast(known), ["host", "shape"], "left")
-    else:
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("salt", salt).join(salted, ["host", "shape", "salt"], "left")
-    is_constant = lambda b: F.array_contains(
-        F.col("constants"),
-        F.struct(
-            F.get("slot_of", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("text"), F.col("marked").alias("marked")
-        ),
-    )
-    varying = F.when(F.col("constants").isNull(), F.col("blocks")).otherwise(
-        F.filter("blocks", lambda b: ~F.coalesce(is_constant(b), F.lit(False)))
-    )
-    kept = joined.withColumn("varying", varying)
+    known = materialize(wrappers(rows, broadcast_limit), "wrapper-constants")
+    kept = _with_varying(rows, known, broadcast_limit)
     kept = kept.withColumn("kept", F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("blocks")))
     return kept.select(
         "page_id",

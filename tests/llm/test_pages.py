@@ -123,6 +123,26 @@ def test_wrapper_drops_constant_nodes(spark):
     assert html_wrapper.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_near_copies_are_no_template(spark):
+    story = [f"paragraph {k} of the one story that this host has many copies of" for k in range(10)]
+
+    def page(tag, texts):
+        return f"<html><body><div>our host</div><{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}></body></html>"
+
+    rows, want = [], {}
+    for host, tag, n in (("a", "article", 30), ("m", "main", 30), ("d", "div", 8), ("mixed", "div", 14)):
+        for k in range(n):
+            texts = [*story[:4], f"changed {host}{k}", *story[5:]]
+            if host == "mixed" and k >= 9:
+                texts = [f"another story {k} {i}" for i in range(10)]
+            at = len(rows)
+            rows.append((at, f"http://{host}.example/{k}", page(tag, texts)))
+            want[at] = "\n".join((["our host"] if host == "d" else []) + texts)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limits in ({}, {"broadcast_limit": 0}):
+        assert {r["page_id"]: r["text"] for r in html_wrapper.extract(pages, **limits).collect()} == want
+
+
 # ---- archives
 
 
