@@ -2,7 +2,9 @@
 
 A record is rows (record id, chunk number): each chunk is a WARC segment of at
 most ``CHUNK_CHARS`` characters that carries the digest of all bytes so far.
-Oversized payloads thus pass through writer and reader a chunk at a time.
+Oversized payloads thus pass through writer and reader a chunk at a time: the
+writer cuts chunks from the bytes of the Arrow column and hands them on in
+batches of bounded size.  Spark itself holds a page's html as one value.
 Chunks are written by Spark's text sink, whose row end is the record end that
 WARC asks for, as gzip files that one task each reads back in order.
 
@@ -13,6 +15,7 @@ response, the others are revisit records that refer to it and have no block.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtools import slices
+from .arrowtools import SLICE_BYTES
 from .shared import materialize, new_path
 
 CHUNK_CHARS = 256 * 1024
@@ -76,17 +79,26 @@ def decide(digests: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     )
 
 
-def _segments(row: dict, chunk_chars: int) -> Iterator[tuple[str, int, str]]:
+def _chunks(data: pa.Buffer | bytes, chunk_chars: int) -> Iterator[tuple[str, bool]]:
+    """Consecutive texts of ``chunk_chars`` characters in UTF-8 bytes, and whether each is the last; at least one."""
+    view, at = memoryview(data), 0
+    while True:
+        # a character has 4 bytes at most; one that the window cuts is behind the chunk
+        chunk = codecs.utf_8_decode(view[at : at + 4 * chunk_chars], "strict", False)[0][:chunk_chars]
+        at += len(chunk.encode())
+        yield chunk, at >= len(view)
+        if at >= len(view):
+            return
+
+
+def _segments(row: dict, html: pa.Buffer | bytes, chunk_chars: int) -> Iterator[tuple[str, int, str]]:
     """The chunk rows (record id, chunk number, text of the segment) of a page."""
     name = f"{row['page_id']}\n{row['key']}\n{row['payload_digest']}"
     record = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}"
-    html = "" if row["record_type"] == "revisit" else row["html"] or ""
-    chunks = [html[i : i + chunk_chars] for i in range(0, len(html), chunk_chars)] or [""]
-    running, total = hashlib.sha1(), 0
-    for number, chunk in enumerate(chunks, 1):
-        data = chunk.encode()
-        running.update(data)
-        total += len(data)
+    running = hashlib.sha1()
+    chunks = _chunks(b"" if row["record_type"] == "revisit" else html, chunk_chars)
+    for number, (chunk, last) in enumerate(chunks, 1):
+        running.update(chunk.encode())
         head = ["WARC/1.1"]
         block = chunk
         if number == 1:
@@ -106,15 +118,36 @@ def _segments(row: dict, chunk_chars: int) -> Iterator[tuple[str, int, str]]:
         else:
             head += ["WARC-Type: continuation", f"WARC-Record-ID: <{record}/{number}>", f"WARC-Segment-Origin-ID: <{record}>"]
         head.append(f"WARC-Date: {_DATE}")
-        if len(chunks) > 1:
+        if number > 1 or not last:
             head.append(f"WARC-Segment-Number: {number}")
-        if number == len(chunks):
+        if last:
             head.append(f"X-Last-Segment: {number}")
         head.append(f"X-Running-Digest: sha1:{base32(running.copy().digest())}")
         head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block.encode())}"]
         yield record, number, "\r\n".join(head) + _END + block
 
 
+def _bounded(rows: Iterator[tuple[str, int, str]], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The chunk rows in batches of about ``limit`` characters, of one row at least."""
+    held: list[tuple[str, int, str]] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for x in held], type=t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))],
+            names=["record_id", "chunk", "value"],
+        )
+
+    for row in rows:
+        if held and size + len(row[2]) > limit:
+            yield batch()
+            held, size = [], 0
+        held.append(row)
+        size += len(row[2])
+    if held:
+        yield batch()
+
+
 def chunk_table(pages: DataFrame, decisions: DataFrame, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``record_id, chunk, value``: the records of the pages, a row for each chunk."""
     rows = pages.select(
@@ -125,14 +158,15 @@ def chunk_table(pages: DataFrame, decisions: DataFrame, chunk_chars: int = CHUNK
     joined = rows.join(known, same).drop("d_id", "d_key")
     schema = "record_id string, chunk int, value string"
 
+    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[str, int, str]]:
+        html = batch["html"]
+        others = [n for n in batch.schema.names if n != "html"]
+        for i in range(batch.num_rows):
+            yield from _segments({n: batch[n][i].as_py() for n in others}, html[i].as_buffer() or b"", chunk_chars)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "html"):
-                rows = [x for i in range(piece.num_rows) for x in _segments({n: piece[n][i].as_py() for n in piece.schema.names}, chunk_chars)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[i] for x in rows], type=t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))],
-                    names=["record_id", "chunk", "value"],
-                )
+            yield from _bounded(rows_of(batch))
 
     return joined.mapInArrow(run, schema)
 

@@ -180,6 +180,29 @@ def test_damaged_archive_fails(spark):
         list(warc_chunks._Reader("x").feed(whole.replace(b"hello hello", b"hellO hello")))
 
 
+def test_chunks_are_cut_from_the_bytes():
+    for text in ("", "a", "abcdefg", "é𝄞a" * 9, "𝄞" * 8):
+        for n in (1, 2, 3, 4, 100):
+            want = [text[i : i + n] for i in range(0, len(text), n)] or [""]
+            found = list(warc_chunks._chunks(text.encode(), n))
+            assert found == [(c, i == len(want)) for i, c in enumerate(want, 1)]
+
+
+def test_a_long_page_is_written_a_chunk_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    html = pa.array(["é" * (8 << 20)])
+    row = {"page_id": 1, "key": 2, "url": "u", "payload_bytes": 16 << 20, "payload_digest": "D", "record_type": "response", "refers_to": None}
+    tracemalloc.start()
+    pages = warc_chunks._bounded(warc_chunks._segments(row, html[0].as_buffer(), 1 << 16), 1 << 18)
+    sizes = [b.num_rows for b in pages]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 128 and max(sizes) <= 4 and peak < 4 << 20
+
+
 # ---- sharding
 
 
