@@ -159,13 +159,13 @@ def shard(documents: DataFrame, root: str | None = None, **options) -> tuple[Sha
 
 
 def shard_rows(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Per row of the table where it lies in the compacted store.
+    """Per row of the table where it lies in the compacted store, which holds all columns.
 
     Returns ``doc_id, n_chars, text_sha256, shard, row, version``: ``shard``
     is the file's name, ``row`` the row's place in it and ``version`` the
     manifest's.  A null text has null n_chars and text_sha256.
     """
-    store, rows = shard(documents.select(key, text), **options)
+    store, rows = shard(documents, **options)
     return rows.select(
         F.col(key).alias("doc_id"),
         F.char_length(text).cast("long").alias("n_chars"),

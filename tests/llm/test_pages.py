@@ -231,6 +231,15 @@ def test_shard_rows(docs, no_docs, doc_rows):
     assert size_tiered.shard_rows(no_docs).count() == 0
 
 
+def test_shard_rows_stores_all_columns(spark, docs, monkeypatch):
+    root = new_path(spark, "shards")
+    monkeypatch.setattr(size_tiered, "new_path", lambda *_: root)
+    assert size_tiered.shard_rows(docs, arrival_rows=5, fan_in=3).count() == docs.count()
+    stored = size_tiered.ShardStore(spark, root).read()
+    assert stored.columns == docs.columns
+    assert stored.exceptAll(docs).count() == 0 and docs.exceptAll(stored).count() == 0
+
+
 # ---- language
 
 
