@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import subjects as S
+from ..storage import unused
 
 #: Order of a subject's matches.
 _CLASS = {"exact": 0, "catch_all": 1, "pattern": 2}
@@ -235,13 +236,25 @@ def late_releases(delivered: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def correlate(requests: DataFrame, replies: DataFrame, timeout_ms: int) -> DataFrame:
-    """Requests with the first reply of their correlation id within the timeout; ``outcome`` is reply or timeout."""
-    r = replies.select("correlation_id", F.col("ts_ms").alias("reply_ms"), F.col("payload").alias("reply"))
-    joined = requests.join(
-        r, (requests["correlation_id"] == r["correlation_id"]) & F.col("reply_ms").between(F.col("ts_ms"), F.col("ts_ms") + timeout_ms), "left"
-    ).drop(r["correlation_id"])
+    """Requests with the first reply of their correlation id within the timeout; ``outcome`` is reply or timeout.
+
+    Each row of the requests is a row of the result, repeated ones too: replies
+    are reduced to one for each distinct (correlation id, time) that asks, and
+    requests then look theirs up.  Of replies of one time that of the least
+    payload counts; a null correlation id has no reply.
+    """
+    rid, asked = unused(requests, "__rid", "__asked")
+    r = replies.select(F.col("correlation_id").alias(rid), F.col("ts_ms").alias("reply_ms"), F.col("payload").alias("reply"))
+    asks = requests.select(F.col("correlation_id").alias("__id"), F.col("ts_ms").alias(asked)).distinct()
+    first = (
+        asks.join(r, (F.col("__id") == F.col(rid)) & F.col("reply_ms").between(F.col(asked), F.col(asked) + timeout_ms))
+        .groupBy(rid, asked)
+        .agg(F.min(F.struct("reply_ms", "reply")).alias("__first"))
+        .select(rid, asked, "__first.reply", "__first.reply_ms")
+    )
+    same = (requests["correlation_id"] == first[rid]) & (requests["ts_ms"] == first[asked])
     return (
-        joined.groupBy(*requests.columns)
-        .agg(F.min_by("reply", "reply_ms").alias("reply"), F.min("reply_ms").alias("reply_ms"))
+        requests.join(first, same, "left")
+        .drop(rid, asked)
         .withColumn("outcome", F.when(F.col("reply_ms").isNotNull(), "reply").otherwise("timeout"))
     )

@@ -472,12 +472,12 @@ def cron_fires(spark, d):
 
 @query("""WITH q AS (SELECT conv_id, turn, conv_id * 1000 + turn AS correlation_id, turn * 1000 AS ts_ms FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id * 1000 + turn - 1 AS correlation_id, (turn - 1) * 1000 + length(text) AS ts_ms, length(text) AS reply FROM conversations WHERE role = 'assistant')
-SELECT q.correlation_id, min(p.ts_ms) AS reply_ms, CASE WHEN min(p.ts_ms) IS NULL THEN 'timeout' ELSE 'reply' END AS outcome
-FROM q LEFT JOIN p ON p.correlation_id = q.correlation_id AND p.ts_ms BETWEEN q.ts_ms AND q.ts_ms + 400 GROUP BY q.correlation_id""")
+SELECT correlation_id, reply_ms, CASE WHEN reply_ms IS NULL THEN 'timeout' ELSE 'reply' END AS outcome
+FROM (SELECT q.correlation_id, (SELECT min(p.ts_ms) FROM p WHERE p.correlation_id = q.correlation_id AND p.ts_ms BETWEEN q.ts_ms AND q.ts_ms + 400) AS reply_ms FROM q)""")
 def rpc_interval_match(spark, d):
     """Replies within the timeout of their requests."""
     c = table(spark, d, "conversations")
-    asks = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("correlation_id"), (F.col("turn") * 1000).alias("ts_ms")).distinct()
+    asks = c.where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("correlation_id"), (F.col("turn") * 1000).alias("ts_ms"))
     answers = c.where("role = 'assistant'").select(
         (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("correlation_id"),
         ((F.col("turn") - 1) * 1000 + F.char_length("text")).alias("ts_ms"), F.char_length("text").cast("string").alias("payload"),

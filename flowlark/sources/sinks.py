@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.payload import message_flags, message_id
 from ..functions.subjects import subject_error
 from ..schema import MAX_DELAY_MS, MAX_DELAYED
+from ..storage import materialize, unused
 from .log import row_checksum
 
 SEGMENT_ROWS = 1_000_000
@@ -16,19 +17,27 @@ SEGMENT_ROWS = 1_000_000
 def numbered(rows: DataFrame, next_seq: int, *order: str) -> DataFrame:
     """Consecutive ``seq`` from ``next_seq`` in a given order, without one task that sorts all rows.
 
-    Rows are ranged over partitions; the sizes of the partitions (one number
-    each) give every partition its first number.
+    Rows are ranged over partitions, sorted there and written once with their
+    partition and place: range bounds are sampled, so a second plan of the same
+    ranging would deal rows otherwise.  What was written is then numbered by
+    sums over the partitions' sizes (one number each), without a shuffle.
     """
-    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
-    inside = Window.partitionBy("__p").orderBy(*order)
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
-    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    at, part, start = unused(rows, "__at", "__part", "__start")
+    ranged = materialize(
+        rows.repartitionByRange(*[F.col(c) for c in order])
+        .sortWithinPartitions(*order)
+        .withColumn(at, F.monotonically_increasing_id()),
+        "numbered",
+    )
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ranged.withColumn(part, F.shiftright(at, 33))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(start))
+    starts = sizes.select(part, F.coalesce(F.sum(start).over(ahead), F.lit(0)).alias(start))
     return (
-        ranged.withColumn("__r", F.row_number().over(inside))
-        .join(F.broadcast(starts), "__p")  # a row for each partition
-        .withColumn("seq", F.lit(next_seq - 1) + F.col("__start") + F.col("__r"))
-        .drop("__p", "__r", "__start")
+        ranged.join(F.broadcast(starts), part)  # a row for each partition
+        .withColumn("seq", F.lit(next_seq) + F.col(start) + place)
+        .drop(at, part, start)
     )
 
 
