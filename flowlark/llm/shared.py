@@ -1,43 +1,15 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Input tables and files of the shared folder; tables that cut lineage are in ``flowlark.storage``."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from ..storage import discard, materialize, new_path, shared_dir, unused
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``.
-
-    Where that setting is absent (local tests) a temporary folder is set once
-    for the session; on a cluster the setting names a store all machines see.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="flowlark-shared-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    A lost executor then costs a reread, not a recomputation, and values that
-    depend on task layout (such as row numbers) stay as they were written.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Files", "discard", "materialize", "new_path", "shared_dir", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +21,12 @@ class Files:
     """Small files and listings in whatever store holds ``path``, by the driver."""
 
     def __init__(self, spark: SparkSession, path: str):
-        jvm = spark.sparkContext._jvm
+        self._jvm = jvm = spark.sparkContext._jvm
+        self._gateway = spark.sparkContext._gateway
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self._utils = jvm.org.apache.commons.io.IOUtils
-        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path(path).getFileSystem(self._conf)
 
     def sizes(self, folder: str) -> dict[str, int]:
         """Paths of the data files in a folder and their bytes."""
@@ -74,17 +48,49 @@ class Files:
             stream.close()
 
     def commit(self, path: str, text: str) -> bool:
-        """Create ``path`` with ``text`` whole or not at all; False if it is there already."""
+        """Create ``path`` with ``text`` whole or not at all; False if it is there already.
+
+        A draft is written and then named, by an operation of the store that
+        fails where the name is taken: a hard link on a local or mounted file
+        system, elsewhere a rename that doesn't overwrite, which HDFS does in
+        one step.  A store without either must not hold manifests.
+        """
         draft = f"{path}.{uuid.uuid4().hex}.draft"
         stream = self._fs.create(self._path(draft), False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self.exists(path) or not self._fs.rename(self._path(draft), self._path(path)):
-            self._fs.delete(self._path(draft), False)
+        try:
+            self._name(draft, path)
+            return True
+        except Py4JJavaError as e:
+            if not _taken(e.java_exception):
+                raise
             return False
-        return True
+        finally:
+            self._fs.delete(self._path(draft), False)
+
+    def _name(self, draft: str, path: str) -> None:
+        source, folder, name = self._fs.resolvePath(self._path(draft)), *path.rsplit("/", 1)
+        target = self._path(self._fs.resolvePath(self._path(folder)), name)
+        if source.toUri().getScheme() == "file":
+            nio, uri = self._jvm.java.nio.file, self._jvm.java.net.URI
+            local = lambda p: nio.Paths.get(uri("file://" + p.toUri().getRawPath()))
+            nio.Files.createLink(local(target), local(source))
+        else:
+            self._rename(source, target)
+
+    def _rename(self, source: object, target: object) -> None:
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        kept = self._gateway.new_array(rename, 1)
+        kept[0] = rename.NONE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(source, target, kept)
 
     def remove(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
+
+
+def _taken(error: object) -> bool:
+    """Whether a store's error says that a name is there already."""
+    return error.getClass().getSimpleName() in ("FileAlreadyExistsException",)
