@@ -185,17 +185,65 @@ def test_lines_of_rows_without_id(spark):
     assert got == {(0, ""), (1, ""), (2, ""), (3, line), (None, "other"), (None, "")}
 
 
-def test_line_runs_compact(spark):
-    store = line_runs.LineRuns(spark, fanout=2, buckets=3)
+def batches_of_lines(spark):
+    """Five batches by falling id, each with ten lines that no batch had and five of the batch before."""
     for k in range(5):
-        rows = [(h, 0, k) for h in range(10 * k, 10 * k + 15)]
-        batch = spark.createDataFrame(rows, "h1 long, h2 long, id long")
-        fresh = batch.select("h1", "h2")
+        rows = [(h, 0, 100 - 2 * k - i) for h in range(10 * k, 10 * k + 15) for i in (0, 1)]
+        yield k, spark.createDataFrame(rows, "h1 long, h2 long, id long")
+
+
+def test_line_runs_compact(spark):
+    store = line_runs.LineRuns(spark, fanout=2, buckets=4)
+    for k, batch in batches_of_lines(spark):
+        fresh = batch.select("h1", "h2").distinct()
         assert store.unseen(fresh).count() == (15 if k == 0 else 10)
         store.append(batch)
     assert [len(x) for x in store.levels] == [1, 0, 1]  # five batches in binary
+    assert sum(t.count() for t in store.runs()) == 55  # a line is in one run alone
     counts = {r["h1"]: (r["n"], r["last"]) for r in store.counts().collect()}
-    assert counts == {h: (1 + (10 <= h < 50 and h % 10 < 5), min(h // 10, 4)) for h in range(55)}
+    want = {h: (4 if 10 <= h < 50 and h % 10 < 5 else 2, 100 - 2 * max(0, -(-(h - 14) // 10))) for h in range(55)}
+    assert counts == want
+    with pytest.raises(ValueError, match="smaller ids"):
+        store.append(batch)
+    tables = {t.name for t in spark.catalog.listTables()}
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")] and any(t.startswith("line_run_") for t in tables)
+
+
+def test_line_anti_join_decides(spark, monkeypatch):
+    """Without the anti-join later batches would add known lines again."""
+    monkeypatch.setattr(line_runs.LineRuns, "unseen", lambda self, keys: keys)
+    store = line_runs.LineRuns(spark, fanout=99, buckets=4)
+    for _, batch in batches_of_lines(spark):
+        store.append(batch)
+    assert sum(t.count() for t in store.runs()) == 75
+    store.close()
+
+
+def test_runs_join_without_shuffling_them(spark):
+    store = line_runs.LineRuns(spark, fanout=99)
+    for _, batch in batches_of_lines(spark):
+        store.append(batch)
+    a, b = store.runs()[:2]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_runs.merged(a, b)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    store.close()
+
+
+def test_lines_of_clashing_names(spark):
+    names = ["__of", "__h1", "__h2", "__row", "__id", "h1", "h2", "n", "last", "id", "batch", "n_lines"]
+    line = "this line is long enough to count"
+    rows = [(k if k < 4 else None, f"{line}\n{k}", *[7] * len(names)) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{x}` int" for x in names))
+    out = line_runs.dedup_lines(docs, batches=3)
+    assert out.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_dropped"]
+    got = Counter((r["doc_id"], r["text"], r["__h1"], r["__row"]) for r in out.collect())
+    want = Counter((k if k < 4 else None, f"{line}\n{k}" if k == 3 else f"{k}", 7, 7) for k in range(6))
+    assert got == want
 
 
 # ---- Jaccard
