@@ -3,12 +3,13 @@
 import base64
 import hashlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowlark.llm import html_wrapper, language_fusion, size_tiered, warc_chunks
-from flowlark.llm.shared import new_path
+from flowlark.llm.shared import Files, new_path
 
 SITE = (
     '<!DOCTYPE html><html lang=en><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>'
@@ -208,19 +209,81 @@ def test_a_long_page_is_written_a_chunk_at_a_time():
 
 def test_sharding(spark, docs):
     root = new_path(spark, "shards")
-    store = size_tiered.ShardStore(spark, root, target_bytes=1 << 20, fan_in=3, tier_bytes=1 << 14, arrival_rows=7)
+    store = size_tiered.ShardStore(spark, root, target_bytes=1 << 20, fan_in=3, tier_bytes=1 << 14, arrival_rows=7, part_shards=4)
     for k in range(4):
         store.append(docs.where(F.pmod(F.hash("doc_id"), F.lit(4)) == k))
     before, many = store.version(), store.shards()
     after = store.compact()
     assert after > before and len(store.shards()) < len(many)
-    assert not len(store.due(store.shards())) or len(store.shards()) <= 3
+    assert not store.due(store.shards()) or len(store.shards()) <= 3
     for version in (before, after):
         assert store.read(version).exceptAll(docs).count() == 0 and store.read(version).count() == docs.count()
-    with pytest.raises(RuntimeError):
-        store._commit(after, [], docs.schema)
+    parts = store._parts(after)
+    assert all(len(x) <= 4 for x in parts.values())
+    assert not store._commit(after, parts, set(), [], docs.schema)  # that version is there
     store.expire(after)
-    assert store.read().count() == docs.count() and store.version() == after
+    assert store.read().count() == docs.count() and store.versions() == [after]
+    assert len(store.files.sizes(f"{root}/manifests/parts")) == len(parts)
+
+
+def test_a_tier_is_merged_by_itself(spark, monkeypatch):
+    """Each merge reads shards of one tier, into shards of the target's size."""
+    store = size_tiered.ShardStore(spark, new_path(spark, "shards"), target_bytes=200_000, fan_in=3, tier_bytes=20_000, arrival_rows=400)
+    rows = lambda a, n: spark.range(a, a + n).select(F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    for k in range(4):
+        store.append(rows(100_000 * k, 100).coalesce(1))
+        store.append(rows(100_000 * k + 50_000, 3_000).coalesce(1))
+        assert max(s.size for s in store.shards()) < 100_000
+    store.arrival_rows = 3_000
+    for k in range(4):
+        store.append(rows(100_000 * k + 70_000, 2_900).coalesce(1))
+    merges = []
+    change = store._change
+
+    def seen(gone, new, schema):
+        merges.append(([s.size for s in gone], [s.size for s in new]))
+        return change(gone, new, schema)
+
+    monkeypatch.setattr(store, "_change", seen)
+    store.compact()
+    assert len(merges) >= 2
+    for old, new in merges:
+        assert len({store.tier(n) for n in old}) == 1 and len(new) < len(old)
+        assert max(new) <= 1.5 * 200_000
+    assert store.read().count() == 4 * (100 + 3_000 + 2_900) == store.read().distinct().count()
+
+
+def test_two_writers(spark):
+    """Appends at once all hold, each version has one writer, and a merge that lost its shards is thrown away."""
+    root = new_path(spark, "shards")
+    stores = [size_tiered.ShardStore(spark, root, fan_in=3, arrival_rows=1000) for _ in range(2)]
+    frames = [[spark.range(100 * (3 * w + k), 100 * (3 * w + k) + 100).coalesce(1) for k in range(3)] for w in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        got = [f.result() for f in [pool.submit(lambda w=w: [stores[w].append(x) for x in frames[w]]) for w in range(2)]]
+    assert sorted(got[0] + got[1]) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r[0] for r in stores[0].read().collect()) == list(range(600))
+    wins = []
+    with ThreadPoolExecutor(8) as pool:
+        names = [f"{root}/manifests/race-{k // 8}.txt" for k in range(80)]
+        wins = list(pool.map(lambda p: stores[0].files.commit(p, p), names))
+    assert sum(wins) == 10
+    run = set(stores[0].shards())
+    merged = stores[1]._write(stores[1].read().coalesce(1))
+    assert stores[0].compact() > 6
+    assert stores[1]._change(run, merged, stores[1].schema()) == 0
+    assert stores[1].read().count() == 600
+
+
+def test_a_rename_does_not_overwrite(spark):
+    """Where there are no hard links a rename that fails on a taken name commits."""
+    files = Files(spark, new_path(spark, "names"))
+    root = new_path(spark, "names")
+    path = lambda n: files._path(f"{root}/{n}")
+    for n in "ab":
+        files._fs.create(path(n), False).close()
+    files._rename(path("a"), path("c"))
+    with pytest.raises(Exception, match="FileAlreadyExists"):
+        files._rename(path("b"), path("c"))
 
 
 def test_shard_rows(docs, no_docs, doc_rows):
