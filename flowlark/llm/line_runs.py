@@ -38,7 +38,7 @@ BATCHES = 4
 FANOUT = 2
 #: Lines of a batch that a bucket holds at most, as long as they are spread evenly.
 BUCKET_LINES = 2_000_000
-#: Ids by which the bounds of batches are drawn; any bounds give the same result.
+#: About so many ids draw the bounds of batches; any bounds give the same result.
 BOUND_IDS = 1_000
 _SPACE = " \t\n\x0b\x0c\r"
 _KEY = ("h1", "h2")
@@ -188,11 +188,14 @@ class LineRuns:
 def arrivals(documents: DataFrame, batches: int) -> list[DataFrame]:
     """The documents in about equal batches by falling id.
 
-    Bounds are the quantiles of at most BOUND_IDS ids, drawn by hash; rows of
-    one id are in one batch, and rows without an id in none.
+    Bounds are the quantiles of about BOUND_IDS ids, drawn by hash; rows of one
+    id are in one batch, and rows without an id in none.
     """
     ids = documents.select("doc_id").where(F.col("doc_id").isNotNull())
-    drawn = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(BOUND_IDS).collect() if batches > 1 else []
+    drawn = []
+    if batches > 1 and (n := ids.count()):
+        share = min(1.0, BOUND_IDS / n)
+        drawn = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= share * (1 << 40)).distinct().collect()
     order = sorted({r[0] for r in drawn})
     cuts = sorted({order[len(order) * k // batches] for k in range(1, batches)}) if order else []
     out = []

@@ -1,6 +1,7 @@
 """Operators on documents against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -53,7 +54,7 @@ def items(doc_rows):
     return some
 
 
-@pytest.mark.parametrize("limits", [{}, {"inline_limit": 0, "broadcast_limit": 0}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_fingerprints": 0, "broadcast_bytes": 0}])
 def test_winnowing(spark, docs, doc_rows, items, limits):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = winnowing.find_contamination(docs, bench, **limits).collect()
@@ -62,6 +63,53 @@ def test_winnowing(spark, docs, doc_rows, items, limits):
     assert sum(1 for r in found if r["n_hit"]) > 20
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_fingerprints": 0, "broadcast_bytes": 0}])
+def test_winnowing_of_many_windows(spark, limits):
+    """More than 50,000 benchmark windows: every shared run of ten words is found, and nothing else."""
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    bench = [(k, " ".join(rng.choices(vocabulary, k=280))) for k in range(200)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    rows = [(k, text(300)) for k in range(60)]
+    for k in range(60, 120):
+        words = rng.choice(bench)[1].split()
+        at, n = rng.randrange(250), rng.choice([9, 10, 11, 25])
+        rows.append((k, f"{text(40)} {' '.join(words[at : at + n])} {text(40)}"))
+    table = spark.createDataFrame(bench, "item_id long, text string")
+    assert winnowing.benchmark_windows(table).count() > 50_000
+    found = winnowing.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), table, **limits).collect()
+    windows = defaultdict(set)
+    for item, content in bench:
+        c = content.split()
+        for i in range(len(c) - 9):
+            windows[tuple(c[i : i + 10])].add(str(item))
+    for r in found:
+        w, hit, of = dict(rows)[r["id"]].split(), set(), set()
+        for i in range(len(w) - 9):
+            if tuple(w[i : i + 10]) in windows:
+                hit |= set(range(i, i + 10))
+                of |= windows[tuple(w[i : i + 10])]
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(of))
+    assert sum(1 for r in found if r["n_hit"]) > 30
+
+
+def test_no_scan_of_a_large_benchmark_shuffles_texts(spark, docs, items):
+    """Beyond the broadcast limit ids and hashes are shuffled, and no words."""
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = winnowing.benchmark_windows(bench).cache()
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
+    fps = winnowing.window_fingerprints(windows, lengths)
+    rows = winnowing.scan(docs, fps, lengths, False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(at" in line]
+    assert len(below) == 1 and "fp#" in below[0] and not re.search(r"(?<!n_)words#|\bh#|text#", below[0])
+    windows.unpersist()
+
+
 def test_winnowing_of_nothing(spark, docs, no_docs, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert winnowing.find_contamination(no_docs, bench).count() == 0
