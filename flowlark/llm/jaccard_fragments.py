@@ -7,12 +7,19 @@ candidate pair is counted in each fragment by itself and summed per pair.
 
 Rarity comes from a table of counts of all shingles of all documents, hashed
 to ``BUCKETS`` counters; any function of the shingle gives a valid order, so
-the result is exact whatever the counters say.  Documents of equal sets are one
-node.  In each bucket of a prefix shingle the members are compared with one
+the result does not depend on what the counters say.  A shingle is its 64-bit
+hash throughout, in the order of (rarity, hash), so sets are compared as sets of
+these.  Documents of equal sets are one node.  In each bucket of a prefix shingle the members are compared with one
 pivot first; what the links join needs no further comparison, and only members
 of different components are compared with each other.  So a group of
 thousands of near copies costs a comparison for each, and no link that joins
 two components is lost.
+
+A shingle that very many prefixes hold is told by the counters, and its exact
+count confirms it: at most HEAVY_TOKENS shingles are that frequent, and theirs
+are aggregated before any shuffle and looked up through a broadcast, so that
+their rows never meet in one task.  Only pairs that the last round still has to
+compare meet by shingle, those of frequent ones dealt out by salt.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import types as T
 
 from .arrowtools import slices
 from .components import components
-from .shared import materialize
+from .shared import materialize, unused
 
 WORDS = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
@@ -46,6 +53,12 @@ BROADCAST_NODES = 2_000_000
 #: Bits of a set's parity map: two sets differ in at least as many shingles as
 #: their maps in bits, which rules out most pairs before they are made.
 PARITY_BITS = 1024
+#: A shingle is heavy if it is more than this part of all shingle occurrences, so
+#: there are no more heavy ones than this, nor below HEAVY_LEAST rows.
+HEAVY_TOKENS = 20_000
+HEAVY_LEAST = 100
+#: Parts into which the last comparisons of a heavy shingle are dealt.
+SALTS = 16
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,16 +166,22 @@ def levels(counted: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The shingles as numbers of the global order, ascending."""
-    rank = level[(found >> _TOP).astype(np.int64)].astype(np.uint64)
-    out = (rank << np.uint64(56)) | ((found << np.uint64(64 - int(_TOP))) >> np.uint64(8)) & np.uint64((1 << 56) - 1)
-    out.sort()
-    return out
+def ordered(found: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles in the global order, by (rarity, hash), and the rarity of each."""
+    rank = level[(found >> _TOP).astype(np.int64)]
+    order = np.argsort(rank, kind="stable")
+    return found[order], rank[order]
+
+
+def heavy_level(level: np.ndarray) -> tuple[int, int]:
+    """How many rows make a shingle heavy, and the least level that its counter then has."""
+    total = float((np.exp2(level / _STEPS) - 1).sum())
+    rows = max(HEAVY_LEAST, int(total / HEAVY_TOKENS))
+    return rows, int(np.round(_STEPS * np.log2(rows + 1.0)))
 
 
-def cuts(level: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
-    """Where the global order is cut so that fragments hold about as many shingles each."""
+def cuts(level: np.ndarray, fragments: int = FRAGMENTS) -> list[tuple[int, int]]:
+    """Where the global order is cut, as (level, hash), so that fragments hold about as many shingles each."""
     load = np.bincount(level, weights=np.exp2(level / _STEPS) - 1, minlength=256)
     upto = np.cumsum(load)
     out = []
@@ -170,8 +189,17 @@ def cuts(level: np.ndarray, fragments: int = FRAGMENTS) -> np.ndarray:
         target = upto[-1] * k / fragments
         at = min(255, int(np.searchsorted(upto, target)))
         share = (target - (upto[at] - load[at])) / load[at] if load[at] else 0.0
-        out.append((at << 56) + int(min(max(share, 0.0), 0.999) * (1 << 56)))
-    return np.array(out, dtype=np.uint64)
+        out.append((at, int(min(max(share, 0.0), 0.999) * (1 << 64))))
+    return out
+
+
+def cut_places(found: np.ndarray, rank: np.ndarray, at: list[tuple[int, int]]) -> list[int]:
+    """Where the cuts fall in an ordered set."""
+    out = []
+    for level, bound in at:
+        low, high = np.searchsorted(rank, level, "left"), np.searchsorted(rank, level, "right")
+        out.append(int(low + np.searchsorted(found[low:high], np.uint64(bound))))
+    return out
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -180,15 +208,20 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def prefixes(documents: DataFrame, words: int, percent: int, level: object) -> DataFrame:
-    """``id, n, sig, prefix, bits``: the rarest shingles, one of which any partner shares, and the parity map."""
+def prefixes(documents: DataFrame, words: int, percent: int, level: object, heavy: int) -> DataFrame:
+    """``id, n, sig, prefix, light, bits``: the rarest shingles, one of which any partner shares, and the parity map.
+
+    The first ``light`` shingles of a prefix have counters below the level ``heavy``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _sets(batches, words):
-            found = []
+            found, light = [], []
             for s in sets:
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                found.append(ordered(s, level.value)[:keep].astype(np.int64))
+                tokens, rank = ordered(s, level.value)
+                found.append(tokens[:keep].view(np.int64))
+                light.append(int(np.searchsorted(rank[:keep], heavy, "left")))
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             flat = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -196,15 +229,17 @@ def prefixes(documents: DataFrame, words: int, percent: int, level: object) -> D
                     piece["id"], pa.array([len(s) for s in sets], type=pa.int64()),
                     pa.array([_signature(s) for s in sets], type=pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    pa.array(light, type=pa.int32()),
                     pa.array([parity(s) for s in sets], type=pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "sig", "prefix", "bits"],
+                names=["id", "n", "sig", "prefix", "light", "bits"],
             )
 
-    return _documents(documents).mapInArrow(run, "id long, n long, sig binary, prefix array<long>, bits array<long>")
+    schema = "id long, n long, sig binary, prefix array<long>, light int, bits array<long>"
+    return _documents(documents).mapInArrow(run, schema)
 
 
-def fragments_of(documents: DataFrame, words: int, level: object, at: np.ndarray) -> DataFrame:
+def fragments_of(documents: DataFrame, words: int, level: object, at: list[tuple[int, int]]) -> DataFrame:
     """``node, sig, fragment, part``: the shingles of each document in each fragment of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,12 +247,13 @@ def fragments_of(documents: DataFrame, words: int, level: object, at: np.ndarray
             ids, signs, number, parts = [], [], [], []
             for k, s in enumerate(sets):
                 sign = _signature(s)
-                for f, part in enumerate(np.split(o := ordered(s, level.value), np.searchsorted(o, at))):
+                tokens, rank = ordered(s, level.value)
+                for f, part in enumerate(np.split(tokens, cut_places(tokens, rank, at))):
                     if len(part):
                         ids.append(k)
                         signs.append(sign)
                         number.append(f)
-                        parts.append(part.astype(np.int64))
+                        parts.append(part.view(np.int64))
             ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -255,32 +291,39 @@ class Join:
         self.rows = found.where(F.col("chunk").isNull()).select("id", "n", "sig")
         level = levels(found.where(F.col("chunk").isNotNull()).select("chunk", "counts"))
         self.level, self.cuts = spark.sparkContext.broadcast(level), cuts(level)
+        self.heavy_rows, self.heavy_level = heavy_level(level)
         # rows that share an id: the least signature stands for the document
         one = self.rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("sig", "n")).alias("s")).select("id", "s.sig", "s.n")
         self.repeats = not self.rows.groupBy("id").count().where("id IS NOT NULL AND count > 1").isEmpty()
         self.classes = one.where(F.col("n") > 0).groupBy("sig").agg(F.min("id").alias("node"))
 
     def buckets(self) -> DataFrame:
-        """``token, node, n, place`` for prefix shingles that several nodes have."""
-        made = materialize(prefixes(self.documents, self.words, self.percent, self.level), "jaccard-prefixes")
+        """``token, heavy, node, n, place`` for prefix shingles that several nodes have."""
+        made = prefixes(self.documents, self.words, self.percent, self.level, self.heavy_level)
         nodes = self.classes.select(F.col("node").alias("id"), "sig")
-        chosen = made.join(nodes, ["id", "sig"], "left_semi")
+        # a table that repeats a row repeats its node, which does no harm
+        chosen = materialize(made.join(nodes, ["id", "sig"], "left_semi"), "jaccard-prefixes")
         bits = chosen.select(F.col("id").alias("node"), "n", "bits")
-        self.bits = materialize(bits.dropDuplicates(["node"]) if self.repeats else bits, "jaccard-parity")
-        rows = chosen.select("id", "n", F.posexplode("prefix").alias("place", "token")).select(
-            "token", F.col("id").alias("node"), (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np")
+        self.bits = bits.dropDuplicates(["node"]) if self.repeats else bits
+        np_ = (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np")
+        rows = chosen.select("id", "n", "light", F.posexplode("prefix").alias("place", "token")).select(
+            "token", F.col("id").alias("node"), np_, (F.col("place") >= F.col("light")).alias("maybe")
+        )
+        # counted exactly where the counters allow so many; no more than HEAVY_TOKENS can be left
+        some = chosen.where(F.size("prefix") > F.col("light")).select(
+            F.explode(F.slice("prefix", F.col("light") + 1, F.size("prefix"))).alias("token")
         )
+        heavy = materialize(some.groupBy("token").count().where(F.col("count") > self.heavy_rows).select("token"), "jaccard-heavy")
         # one shuffle, and of the sorted run of a token no more than the rows beside one
         w = Window.partitionBy("token").orderBy("node")
         beside = F.lag("node").over(w).isNotNull() | F.lead("node").over(w).isNotNull()
-        # a table that repeats a row repeats its node, which does no harm
+        names = ("token", "node", "np")
+        light = rows.join(F.broadcast(heavy), "token", "left_anti").withColumn("beside", beside).where("beside").select(*names).distinct()
+        many = rows.where("maybe").join(F.broadcast(heavy), "token", "left_semi").select(*names).distinct()
+        both = light.withColumn("heavy", F.lit(False)).unionByName(many.withColumn("heavy", F.lit(True)))
         return materialize(
-            rows.withColumn("beside", beside)
-            .where("beside")
-            .select("token", "node", "np")
-            .distinct()
-            .select(
-                "token", "node", F.shiftright("np", 31).alias("n"),
+            both.select(
+                "token", "heavy", "node", F.shiftright("np", 31).alias("n"),
                 F.col("np").bitwiseAND(F.lit((1 << 31) - 1)).alias("place"),
             ),
             "jaccard-buckets",
@@ -335,40 +378,52 @@ class Join:
         n1, n2 = F.col("x_n"), F.col("y_n")
         return differ <= n1 + n2 - 2 * needed(n1, n2, self.percent)
 
+    @staticmethod
+    def by_token(rows: DataFrame, per_token: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows with what their token has; heavy tokens are looked up in a broadcast, so that their rows stay where they are."""
+        parts = [
+            rows.where(~F.col("heavy")).join(per_token.where(~F.col("heavy")).drop("heavy"), "token", how),
+            rows.where("heavy").join(F.broadcast(per_token.where("heavy").drop("heavy")), "token", how),
+        ]
+        return parts[0].unionByName(parts[1])
+
     def with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """Bucket rows with the component so far, of buckets that hold several."""
         known = components(links)
         named = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = (
-            named.groupBy("token")
+            named.groupBy("token", "heavy")
             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             .where(F.col("lo") != F.col("hi"))
-            .select("token")
+            .select("token", "heavy")
         )
-        return materialize(named.join(open_, "token", "left_semi"), "jaccard-open")
+        return materialize(self.by_token(named, open_, "left_semi"), "jaccard-open")
 
     def pivoted(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of each member of a bucket with the bucket's pivot of this turn."""
         order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
         row = F.struct("node", "n", "place", "component")
-        pivots = rows.groupBy("token").agg(F.min_by(row, F.struct(order, "node")).alias("p"))
+        pivots = rows.groupBy("token", "heavy").agg(F.min_by(row, F.struct(order, "node")).alias("p"))
         near = possible(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), self.percent)
         apart = F.col("component") != F.col("p.component")
-        return rows.join(pivots, "token").where(near & apart).select(
+        return self.by_token(rows, pivots).where(near & apart).select(
             F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
         )
 
     def crossed(self, rows: DataFrame) -> DataFrame:
         """Pairs of members of different components in one bucket.
 
-        The parity maps are looked at last, for what the places allow.
+        The parity maps are looked at last, for what the places allow.  Rows of a
+        heavy token are dealt out by salt, its rows on the other side to each.
         """
         names = ("node", "n", "place", "component", "bits")
         rows = rows.join(self.bits.select("node", "bits"), "node")
-        x = rows.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in names])
-        y = rows.select(F.col("token").alias("y_token"), *[F.col(c).alias(f"y_{c}") for c in names])
+        salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
+        every = F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        side = lambda t, s: t.select(*[F.col(c).alias(f"{s}_{c}") for c in ("token", "salt", *names)])
+        x, y = side(rows.withColumn("salt", salt), "x"), side(rows.withColumn("salt", every), "y")
         near = possible(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"), self.percent)
-        same = F.col("x_token") == F.col("y_token")
+        same = (F.col("x_token") == F.col("y_token")) & (F.col("x_salt") == F.col("y_salt"))
         apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
         return x.join(y, same & apart & near & self.close()).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
@@ -423,6 +478,7 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
 
     Rows of null id, and rows without shingles, stay.
     """
+    (of,) = unused(documents, "__of")
     found = similar_documents(documents, **options)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_j_id")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("_j_id"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(of)).distinct()
+    return documents.join(gone, documents["doc_id"] == gone[of], "left_anti")

@@ -358,10 +358,40 @@ def test_order_and_cuts():
     level = np.zeros(jaccard_fragments.BUCKETS, dtype=np.uint8)
     level[::2] = 6
     at = jaccard_fragments.cuts(level)
-    assert len(at) == jaccard_fragments.FRAGMENTS - 1 and (np.diff(at.astype(object)) > 0).all()
-    found = np.arange(1, 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    o = jaccard_fragments.ordered(found, level)
-    assert len(set(o.tolist())) == 999 and (o[1:] > o[:-1]).all()
+    assert len(at) == jaccard_fragments.FRAGMENTS - 1 and at == sorted(set(at))
+    found = np.sort(np.arange(1, 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    tokens, rank = jaccard_fragments.ordered(found, level)
+    keys = list(zip(rank.tolist(), tokens.tolist(), strict=True))
+    assert keys == sorted(keys) and set(tokens.tolist()) == set(found.tolist())
+    places = jaccard_fragments.cut_places(tokens, rank, at)
+    assert places == [sum(k < c for k in keys) for c in at]
+
+
+def test_order_keeps_all_bits():
+    """Shingles that differ in their high bits alone are two, also on one level."""
+    found = np.array([(1 << 50) | 12345, (3 << 50) | 12345], dtype=np.uint64)
+    tokens, _ = jaccard_fragments.ordered(found, np.full(jaccard_fragments.BUCKETS, 9, dtype=np.uint8))
+    assert len(set(tokens.tolist())) == 2
+
+
+def test_jaccard_of_heavy_shingles(spark, monkeypatch):
+    """Groups of near copies around one text, and unlike texts that share shingles, when most shingles count as heavy."""
+    monkeypatch.setattr(jaccard_fragments, "HEAVY_LEAST", 3)
+    monkeypatch.setattr(jaccard_fragments, "HEAVY_TOKENS", 1 << 40)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(80):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    for k in range(80, 140):  # short, and alike in their first words only
+        rows.append((k, " ".join(base[:7] + [f"y{k}-{j}" for j in range(rng.choice([0, 1, 2, 9]))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard_fragments.Join(docs, 5, 80, 10)
+    assert join.buckets().where("heavy").count() > 100
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_fragments.similar_documents(docs).collect()}
+    assert got == jaccard_components(rows)
 
 
 # ---- media
