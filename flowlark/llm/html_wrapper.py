@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -35,7 +37,6 @@ NEAR_SHARE = 0.75
 #: Wrappers (host, shape) with constants up to this many are broadcast.
 BROADCAST_WRAPPERS = 50_000
 SALTS = 32
-MAX_DEPTH = 80
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
@@ -100,7 +101,7 @@ _LETTER = re.compile("[a-zA-Z]")
 class Node:
     """A block element; ``named`` are the words that hide it by name, if its contents don't speak against it."""
 
-    __slots__ = ("tag", "label", "parent", "children", "depth", "hidden", "shape", "index", "marked", "named")
+    __slots__ = ("tag", "label", "parent", "children", "depth", "hidden", "shape", "size", "index", "marked", "named", "inside")
 
     def __init__(
         self, tag: str, label: str, parent: Node | None, hidden: bool, marked: str = "",
@@ -110,7 +111,8 @@ class Node:
         self.named = named
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.shape, self.index = "", 0
+        self.shape = self.size = self.index = 0
+        self.inside = bool(marked) or parent is not None and parent.inside  # of a marked region
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -130,20 +132,18 @@ def _names(attributes: dict[str, str]) -> set[str]:
 def _new(tag: str, text: str, parent: Node) -> Node:
     attributes = _attributes(text) if text.strip() else {}
     names = _names(attributes)
-    inside = parent
-    while inside is not None and not inside.marked:
-        inside = inside.parent
+    inside = parent.inside
     role = attributes.get("role", "").lower()
     hidden = (
         parent.hidden or tag in _HIDDEN or role in _HIDDEN_ROLES or "hidden" in attributes
         or attributes.get("aria-hidden") == "true"
         or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")))
         or (tag == "article" and bool(names & {"comment", "comments", "teaser", "related", "promo", "ad", "ads", "sponsored", "reply"}))
-        or (inside is None and tag == "header")
+        or (not inside and tag == "header")
     )
     named: set[str] = set()
     if not hidden and tag not in ("html", "body", "article", "main"):
-        named = names & (_BOILER if inside is not None else _BOILER | _BOILER_OUTSIDE)
+        named = names & (_BOILER if inside else _BOILER | _BOILER_OUTSIDE)
     marked = "" if hidden else "article" if tag == "article" else "main" if tag == "main" or role == "main" else ""
     if not hidden and not marked and tag in ("div", "section", "td") and names & _CONTENT:
         marked = "content"
@@ -267,8 +267,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         if tag == "hr":
             continue
-        if here.depth >= MAX_DEPTH:
-            here = here.parent
         child = _new(tag, found[3], here)
         here.children.append(child)
         here = child
@@ -285,52 +283,57 @@ def _above(node: Node | None) -> Iterator[Node]:
 def fold(root: Node) -> str:
     """The shape of a tree, with runs of equal siblings as one; numbers each node's place in it.
 
-    A shape is its nodes in preorder, each as depth and label.
+    A shape is its nodes in preorder, each as depth and label.  Trees of any
+    depth are walked without recursion.
     """
+    import xxhash
 
-    def shape(node: Node) -> str:
-        runs: list[str] = []
+    nodes = [root]
+    for node in nodes:  # parents before their children
+        nodes += node.children
+    for node in reversed(nodes):
+        below, last, node.size = [node.label], None, 1
         for child in node.children:
-            s = shape(child)
-            if not runs or runs[-1] != s:
-                runs.append(s)
-        node.shape = node.label + ("(" + " ".join(runs) + ")" if runs else "")
-        return node.shape
-
+            if child.shape != last:
+                last = child.shape
+                below.append(str(last))
+                node.size += child.size
+        node.shape = xxhash.xxh3_128_intdigest("\0".join(below))
     out: list[str] = []
-
-    def number(node: Node, index: int, depth: int, write: bool) -> int:
-        node.index = index
-        if write:
+    pending = [(root, 0, True)]
+    while pending:
+        node, depth, written = pending.pop()
+        if written:
             out.append(f"{depth}:{node.label}")
-        index += 1
-        last, start = None, index
+        index, last, start, inner = node.index + 1, None, 0, []
         for child in node.children:
-            if child.shape == last:
-                number(child, start, depth + 1, False)
-            else:
+            first = child.shape != last
+            if first:
                 last, start = child.shape, index
-                index = number(child, start, depth + 1, write)
-        return index
-
-    shape(root)
-    number(root, 0, 0, True)
+                index += child.size
+            child.index = start
+            inner.append((child, depth + 1, written and first))
+        pending += reversed(inner)
     return ";".join(out)
 
 
 class Shape:
-    """A shape as a tree."""
+    """A shape as a tree; ``key`` is the same for equal trees."""
 
-    __slots__ = ("label", "index", "children")
+    __slots__ = ("label", "index", "children", "key")
 
     def __init__(self, label: str, index: int):
         self.label, self.index = label, index
         self.children: list[Shape] = []
+        self.key = 0
 
 
 def unfold(shape: str) -> Shape:
     """The tree that a shape's text stands for."""
+    import xxhash
+
     path: list[Shape] = []
+    nodes: list[Shape] = []
     for index, part in enumerate(shape.split(";")):
         depth, label = part.split(":", 1)
         node = Shape(label, index)
@@ -338,32 +341,108 @@ def unfold(shape: str) -> Shape:
         if path:
             path[-1].children.append(node)
         path.append(node)
-    return path[0]
+        nodes.append(node)
+    for node in reversed(nodes):
+        node.key = xxhash.xxh3_128_intdigest("\0".join([node.label, *(str(c.key) for c in node.children)]))
+    return nodes[0]
 
 
-def simple_tree_matching(a: Shape, b: Shape, memo: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
+class TreeMatching:
+    """Simple tree matching: the largest matching of two trees that keeps order and parents.
+
+    Children of equal trees at both ends of two child lists are matched with each
+    other, which never costs a match.  What is between is aligned by dynamic
+    programming over rows, halved like Hirschberg's, so that two lists of
+    n children need memory for n numbers and not for n squared.  The size of a
+    pair of trees is found once for each pair of different trees.
+    """
+
+    def __init__(self) -> None:
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def size(self, a: Shape, b: Shape) -> int:
+        """How many nodes two trees match."""
+        if a.label != b.label:
+            return 0
+        known = self.sizes.get((a.key, b.key))
+        if known is None:
+            head, x, y, tail = _between(a.children, b.children)
+            same = a.children[:head] + a.children[len(a.children) - tail :]
+            known = 1 + sum(self.size(c, c) for c in same) + (int(self._row(x, y)[-1]) if x and y else 0)
+            self.sizes[a.key, b.key] = known
+        return known
+
+    def _row(self, x: list[Shape], y: list[Shape]) -> np.ndarray:
+        """The last row of the table of ``x`` against all prefixes of ``y``."""
+        kinds: dict[int, int] = {}
+        column = np.array([kinds.setdefault(c.key, len(kinds)) for c in y])
+        one_of = list({c.key: c for c in y}.values())  # in the order of their numbers
+        weights: dict[int, np.ndarray] = {}
+        row = np.zeros(len(y) + 1, dtype=np.int64)
+        for c in x:
+            if c.key not in weights:
+                weights[c.key] = np.array([self.size(c, k) for k in one_of], dtype=np.int64)[column]
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[c.key]))
+        return row
+
+    def _aligned(self, x: list[Shape], y: list[Shape]) -> list[tuple[Shape, Shape]]:
+        """Matched children of two lists."""
+        out, pending = [], [(x, y)]
+        while pending:
+            x, y = pending.pop()
+            head, x2, y2, tail = _between(x, y)
+            out += zip(x[:head], y[:head], strict=True)
+            out += zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)
+            if not x2 or not y2:
+                continue
+            if len(x2) == 1:
+                found = [self.size(x2[0], k) for k in y2]
+                if best := max(found):
+                    out.append((x2[0], y2[found.index(best)]))
+                continue
+            half = len(x2) // 2
+            upper, lower = self._row(x2[:half], y2), self._row(x2[half:][::-1], y2[::-1])[::-1]
+            cut = int(np.argmax(upper + lower))
+            pending += [(x2[:half], y2[:cut]), (x2[half:], y2[cut:])]
+        return out
+
+    def pairs(self, a: Shape, b: Shape) -> list[tuple[int, int]]:
+        """The matched nodes, by their places."""
+        out, pending = [], [(a, b)]
+        while pending:
+            a, b = pending.pop()
+            if a.label == b.label:
+                out.append((a.index, b.index))
+                pending += self._aligned(a.children, b.children)
+        return out
+
+
+def _between(x: list[Shape], y: list[Shape]) -> tuple[int, list[Shape], list[Shape], int]:
+    """How many equal trees two lists begin with, what is between, and how many they end with."""
+    least = min(len(x), len(y))
+    head = next((i for i in range(least) if x[i].key != y[i].key), least)
+    least -= head
+    tail = next((i for i in range(least) if x[-1 - i].key != y[-1 - i].key), least)
+    return head, x[head : len(x) - tail], y[head : len(y) - tail], tail
+
+
+def simple_tree_matching(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
     """Size of the largest matching of two trees that keeps order and parents, and its pairs."""
-    if a.label != b.label:
-        return 0, []
-    rows, columns = len(a.children), len(b.children)
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    below: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, x in enumerate(a.children, 1):
-        for j, y in enumerate(b.children, 1):
-            got = simple_tree_matching(x, y) if x.label == y.label else (0, [])
-            below[i, j] = got
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + got[0])
-    pairs = [(a.index, b.index)]
-    i, j = rows, columns
-    while i and j:
-        if below[i, j][0] and best[i][j] == best[i - 1][j - 1] + below[i, j][0]:
-            pairs += below[i, j][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[rows][columns] + 1, pairs
+    matching = TreeMatching()
+    # sizes are found from the leaves up, a level of Python calls for each level of the trees
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1000 + 4 * max(_depth(a), _depth(b))))
+    try:
+        return matching.size(a, b), matching.pairs(a, b)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _depth(tree: Shape) -> int:
+    level, depth = [tree], 0
+    while level:
+        level, depth = [c for node in level for c in node.children], depth + 1
+    return depth
 
 
 def slots(shape: str, template: str) -> list[int]:
@@ -374,14 +453,15 @@ def slots(shape: str, template: str) -> list[int]:
     """
     import xxhash
 
-    pairs = dict(simple_tree_matching(unfold(shape), unfold(template))[1]) if shape != template else {}
+    if shape == template:
+        return list(range(shape.count(";") + 1))
+    pairs = dict(simple_tree_matching(unfold(shape), unfold(template))[1])
     out, path = [], []
     for index, part in enumerate(shape.split(";")):
         depth, label = part.split(":", 1)
         del path[int(depth) :]
-        path.append(label)
-        own = -1 - (xxhash.xxh64_intdigest("/".join(path)) >> 2)
-        out.append(index if shape == template else pairs.get(index, own))
+        path.append(xxhash.xxh64_intdigest(label, path[-1] if path else 0))
+        out.append(pairs.get(index, -1 - (path[-1] >> 2)))
     return out
 
 
@@ -432,9 +512,6 @@ def _byline(node: Node, region: Node) -> bool:
     return "header" in path and not _HEADINGS & set(path)
 
 
-_PAGE = "page_id, url, host"
-
-
 def parsed(pages: DataFrame) -> DataFrame:
     """``page_id, url, host, shape, marked, blocks`` of each page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import tracemalloc
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
@@ -105,6 +107,68 @@ def test_simple_tree_matching():
     assert same == [0, 1, 2]
 
 
+def plain_matching(a, b):
+    """The textbook recursion."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + plain_matching(x, y))
+    return best[-1][-1] + 1
+
+
+def random_shape(rng, budget, depth=0):
+    out = [f"{depth}:{rng.choice('ab')}"]
+    while budget > 1 and rng.random() < 0.75:
+        part = rng.randint(1, budget - 1)
+        out += random_shape(rng, part, depth + 1)
+        budget -= part
+    return out
+
+
+def test_tree_matching_against_the_textbook():
+    rng = random.Random(1)
+    for _ in range(400):
+        a, b = (html_wrapper.unfold(";".join(["0:r", *random_shape(rng, rng.randint(1, 14), 1)])) for _ in range(2))
+        size, pairs = html_wrapper.simple_tree_matching(a, b)
+        assert size == plain_matching(a, b) == len(pairs)
+        nodes = {}
+        for side, tree in (("a", a), ("b", b)):
+            pending = [(tree, None)]
+            while pending:
+                n, up = pending.pop()
+                nodes[side, n.index] = (n.label, up)
+                pending += [(c, n.index) for c in n.children]
+        found = dict(pairs)
+        assert len(found) == len(pairs) == len(set(found.values()))
+        for x, y in pairs:  # labels and parents agree, order is kept
+            assert nodes["a", x][0] == nodes["b", y][0]
+            assert nodes["a", x][1] is None or found[nodes["a", x][1]] == nodes["b", y][1]
+        order = sorted(pairs)
+        assert [y for _, y in order] == sorted(y for _, y in order)
+
+
+def test_many_siblings_are_aligned_in_bounded_memory():
+    n = 10_000
+    a = html_wrapper.unfold(";".join(["0:r", *(f"1:{'ab'[k % 2]}" for k in range(n))]))
+    b = html_wrapper.unfold(";".join(["0:r", "1:c", *(f"1:{'ba'[k % 2]}" for k in range(n)), "1:c"]))
+    tracemalloc.start()
+    size, pairs = html_wrapper.simple_tree_matching(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size == n == len(pairs) and peak < 64 << 20
+
+
+def test_deep_pages_hide_and_keep_as_shallow_ones_do():
+    for depth in (10, 90, 5000):
+        page = "<div>" * depth + "<nav><p>MENU</p></nav><p>story</p>" + "</div>" * depth
+        shape, _, blocks = html_wrapper.page_blocks(page)
+        assert [t for _, t in blocks] == ["story"]
+        other, _, _ = html_wrapper.page_blocks("<div>" * depth + "<p>x</p><p>story</p>" + "</div>" * depth)
+        assert len(html_wrapper.slots(other, shape)) == other.count(";") + 1
+
+
 def test_wrapper_drops_constant_nodes(spark):
     page = "<html><body><div><p>Welcome to our site</p><div><p>{}</p><p>{}</p></div><p>All rights reserved here</p></div></body></html>"
     other = page.replace("<div><p>Welcome", "<div><table><tr><td>x{}</table><p>Welcome")
