@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtools import slices
-from .shared import materialize
+from .shared import materialize, unused
 
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 1000
 #: Weight of one trigram's log-likelihood.
 TEMPER = 1 / 3
+#: Languages of the model: the most frequent labels, each 256 KB of weights.
+MAX_LANGUAGES = 400
 #: Share of other languages in a language's trigrams, so that no single
 #: trigram decides.
 LEAK = 0.02
@@ -71,20 +73,23 @@ def page_text(page: str) -> str:
     return html_entities.unescape(_TAGS.sub(" ", page))
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and the log-likelihood of each trigram bucket, from ``text, lang``.
 
+    Labels are taken as they are written; null and ``und`` are none.  The model
+    has the ``most`` frequent labels, of equal ones the first by name, so a dirty
+    column costs a bounded model; rows of other labels are judged like all rows.
     Trigrams are counted on the executors; the driver gets one count for
     each language and bucket at most.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    counts = {r["lang"]: r["count"] for r in top}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, BUCKETS))
-    rate = F.lit(0.0)
-    for lang in languages:
-        rate = F.when(F.col("lang") == lang, min(1.0, sample / counts[lang])).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample / counts[lang]))])
+    rate = F.coalesce(F.element_at(rates, F.col("lang")), F.lit(0.0))
     draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < rate * (1 << 20)
     chosen = known.where(draw).select("lang", F.col("text").cast("string").alias("text"))
 
@@ -230,9 +235,13 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, markup: b
 
 
 def document_evidence(documents: DataFrame) -> DataFrame:
-    """Documents as rows for :func:`identify`: the declared language is ``lang``, the host ``source``."""
+    """Documents as rows for :func:`identify`: the host is ``source``; they declare nothing.
+
+    ``lang`` is what the answer is compared with and the model fitted on, so it
+    is no evidence.
+    """
     return documents.select(
-        F.col("doc_id").alias("id"), "text", F.col("lang").cast("string").alias("declared"),
+        F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"),
         F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"),
     )
 
@@ -250,14 +259,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def accepted_documents(documents: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with all their columns.
 
-    Rows with null or letterless texts are of no language and go; a null
-    ``lang`` or ``source`` is evidence that lacks, not a reason to go; rows with
-    a null id are judged by their text like others.
+    Rows with null or letterless texts are of no language and go, and texts of
+    a script that no label has; a null ``lang`` or ``source`` is no reason to go;
+    rows with a null id are judged by their text like others.  Junk in a known
+    language is in that language and stays: this stage judges no quality.
     """
     documents = documents.withColumn("text", F.col("text").cast("string"))
     languages, model = fit(documents.select("text", "lang"))
+    of, key = unused(documents, "__of", "__key")
     found = identify(document_evidence(documents), languages, model).where("accepted")
-    found = found.select(F.col("id").alias("_l_id"), F.col("key").alias("_l_key")).distinct()
-    key = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
-    same = documents["doc_id"].eqNullSafe(F.col("_l_id")) & (key == F.col("_l_key"))
-    return documents.join(found, same, "left_semi")
+    found = found.select(F.col("id").alias(of), F.col("key").alias(key)).distinct()
+    own = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
+    return documents.join(found, documents["doc_id"].eqNullSafe(found[of]) & (own == found[key]), "left_semi")

@@ -4,9 +4,10 @@ import base64
 import hashlib
 import random
 import tracemalloc
-from collections import Counter
+from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,19 +392,77 @@ def spoken(spark):
 
 
 def test_language_held_out(spark, spoken):
+    """Fitted on some rows and asked about others, whose hosts say nothing and whose labels nobody reads."""
     languages, model = language_fusion.fit(spoken.where("doc_id < 120").select("text", "lang"))
-    found = language_fusion.identify(language_fusion.document_evidence(spoken.where("doc_id >= 120")), languages, model)
+    others = spoken.where("doc_id >= 120").withColumn("source", F.lit("host"))
+    found = language_fusion.identify(language_fusion.document_evidence(others.drop("lang")), languages, model)
     right = found.join(spoken, found["id"] == spoken["doc_id"]).where(found["lang"] == spoken["lang"])
     assert right.count() >= 118
 
 
+def test_posteriors_against_brute_force(spark, spoken):
+    """The fused posterior of pages, computed again row by row from counts of plain dictionaries."""
+    languages, model = language_fusion.fit(spoken.select("text", "lang"))
+    rows = []
+    for k, (_, text, lang, _) in enumerate(spoken.orderBy("doc_id").limit(60).collect()):
+        host = ["www.a.example", "b.a.example", "c.other.fr", None][k % 4]
+        rows.append((k, f"<p>{text if k % 9 else ' '.join(text.split()[:2])}</p>", lang if k % 3 else None, host, ["fr", "example", None][k % 3]))
+    rows.append((99, "<p>12 34</p>", "fr", "www.a.example", "fr"))
+    table = spark.createDataFrame(rows, "id long, text string, declared string, host string, suffix string")
+    got = {r["id"]: r for r in language_fusion.identify(table, languages, model, markup=True).collect()}
+
+    names = [*languages, "und"]
+    n = len(names)
+    weights = np.concatenate([model, np.full((1, language_fusion.BUCKETS), -np.log(language_fusion.BUCKETS) + 1.0)]).astype(np.float32)
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    text = {r[0]: language_fusion.TEMPER * sum((weights[:, t].astype(float) for t in language_fusion.trigrams(language_fusion.page_text(r[1]).encode())), np.zeros(n)) for r in rows}
+    spoke = [r for r in rows if text[r[0]].any()]
+
+    def counted(key):
+        out = defaultdict(lambda: np.zeros(n))
+        for r in spoke:
+            if key(r):
+                out[key(r)] += softmax(text[r[0]])
+        return out
+
+    domain = lambda h: ".".join((h or "").split(".")[-2:])
+    rest = np.array([(1 - language_fusion.UNKNOWN_PRIOR) / (n - 1)] * (n - 1) + [language_fusion.UNKNOWN_PRIOR])
+    drawn = lambda c, to, w: (c + w * to) / (c.sum() + w)
+    everywhere = drawn(sum(softmax(text[r[0]]) for r in spoke), rest, language_fusion.TABLE_WEIGHT)
+    domains, hosts = counted(lambda r: domain(r[3])), counted(lambda r: r[3])
+    tables = [counted(lambda r, i=i: r[i]) for i in (2, 4)]
+    for r in rows:
+        post = text[r[0]].copy()
+        if r[3]:
+            up = drawn(domains[domain(r[3])], everywhere, language_fusion.HOST_WEIGHT)
+            post += np.log(drawn(hosts[r[3]], up, language_fusion.HOST_WEIGHT))
+        else:
+            post += np.log(everywhere)
+        for value, t in ((r[2], tables[0]), (r[4], tables[1])):
+            if value:
+                post += np.log(drawn(t[value], everywhere, language_fusion.TABLE_WEIGHT) / everywhere)
+        if not text[r[0]].any():
+            assert (got[r[0]]["lang"], got[r[0]]["accepted"]) == ("und", False)
+            continue
+        best = softmax(post)
+        assert got[r[0]]["lang"] == names[int(best.argmax())]
+        assert abs(got[r[0]]["confidence"] - best.max()) < 2e-3
+
+
 def test_language_evidence_decides_short_texts(spark, spoken):
     rows = spoken.union(spark.createDataFrame([(900, "de", "fr", "fr.host1.example"), (901, "de", "de", "de.host2.example")], spoken.schema))
     languages, model = language_fusion.fit(spoken.select("text", "lang"))
-    found = {r["id"]: r for r in language_fusion.identify(language_fusion.document_evidence(rows), languages, model).collect()}
+    evidence = rows.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    found = {r["id"]: r for r in language_fusion.identify(evidence, languages, model).collect()}
     assert found[900]["lang"] == "fr" and found[901]["lang"] == "de"
 
 
+def test_a_dirty_label_column_costs_a_bounded_model(spark, spoken):
+    dirty = spoken.select("text", "lang").union(spark.range(50).select(F.lit("x y z"), F.concat(F.lit("junk"), F.col("id").cast("string"))))
+    languages, model = language_fusion.fit(dirty, most=3)
+    assert len(languages) == len(model) == 3 and not [x for x in languages if x.startswith("junk")]
+
+
 def test_language_edges(spark, spoken):
     odd = spark.createDataFrame(
         [(500, None, "en", None), (501, "", "fr", "h"), (502, "123 !!", "en", "h"), (503, "Привет мир это просто текст здесь", "en", "h"), (None, SENTENCES["en"], None, None), (505, SENTENCES["de"] * 2000, "xx", "h")],
