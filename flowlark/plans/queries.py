@@ -418,7 +418,7 @@ def ack_ownership(spark, d):
 # ---- dedup and time
 
 
-@query(f"WITH RECURSIVE {_M}, n AS (SELECT a.seq, a.event_type, a.ts_ms, (SELECT min(b.seq) FROM m b WHERE b.event_type = a.event_type AND b.seq > a.seq AND b.ts_ms >= a.ts_ms + 300000) AS nxt FROM m a), r AS (SELECT min(seq) AS seq, event_type FROM m GROUP BY event_type UNION ALL SELECT n.nxt, n.event_type FROM r JOIN n ON n.seq = r.seq WHERE n.nxt IS NOT NULL) SELECT event_type, seq FROM r")
+@query(f"WITH RECURSIVE {_M}, t AS (SELECT event_type, ts_ms, min(seq) AS seq FROM m GROUP BY ALL), n AS (SELECT event_type, ts_ms, min(ts_ms) OVER (PARTITION BY event_type ORDER BY ts_ms RANGE BETWEEN 300000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM t), r AS (SELECT event_type, min(ts_ms) AS ts_ms FROM t GROUP BY event_type UNION ALL SELECT n.event_type, n.nxt FROM r JOIN n USING (event_type, ts_ms) WHERE nxt IS NOT NULL) SELECT event_type, seq FROM r JOIN t USING (event_type, ts_ms)")
 def dedup_window_first(spark, d):
     """The window that does not slide."""
     rows = event_messages(spark, d).select("event_type", "seq", "ts_ms")
@@ -511,14 +511,14 @@ def quota_new_msgs(spark, d):
     return retention.admitted_messages(rows, 300, ["event_type"])
 
 
-@query()
+@query(f"WITH RECURSIVE {_M}, x AS (SELECT event_type, seq, nbytes, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS i FROM m), r AS (SELECT event_type, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, FALSE AS ok FROM (SELECT DISTINCT event_type FROM m) UNION ALL SELECT r.event_type, x.i, CASE WHEN used + nbytes <= 4000 THEN used + nbytes ELSE used END, used + nbytes <= 4000 FROM r JOIN x ON x.event_type = r.event_type AND x.i = r.i + 1) SELECT event_type, seq FROM r JOIN x USING (event_type, i) WHERE ok")
 def quota_new_bytes(spark, d):
     """Greedy by bytes: a fold."""
     rows = event_messages(spark, d).select("event_type", "seq", "nbytes")
     return retention.admitted_bytes(rows, 4_000, ["event_type"]).where("accepted").select("event_type", "seq")
 
 
-@query()
+@query(f"WITH RECURSIVE {_M}, b AS (SELECT seq // 50 AS batch, count(*) AS n, CAST(sum(nbytes) AS BIGINT) AS b, row_number() OVER (ORDER BY min(seq)) AS i FROM m GROUP BY 1), r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, FALSE AS ok UNION ALL SELECT b.i, CASE WHEN r.n + b.n <= 5000 AND r.b + b.b <= 40000 THEN r.n + b.n ELSE r.n END, CASE WHEN r.n + b.n <= 5000 AND r.b + b.b <= 40000 THEN r.b + b.b ELSE r.b END, r.n + b.n <= 5000 AND r.b + b.b <= 40000 FROM r JOIN b ON b.i = r.i + 1) SELECT batch AS batch_id, ok AS accepted FROM r JOIN b USING (i)")
 def quota_batches(spark, d):
     """Whole batches, in turn."""
     rows = event_messages(spark, d).select(F.floor(F.col("seq") / 50).alias("batch_id"), "seq", "nbytes")
