@@ -10,20 +10,47 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize, unused
+from .retention import _kept
+
+
+#: A cap known to the plan is applied before the shuffle up to this many rows a key.
+PLAN_CAP = 1000
+
+
+def _first(owed: DataFrame, key: list[str], cap: Column, highest: int) -> DataFrame:
+    """The first ``cap`` rows of each key, of rows that all have a cap of at most ``highest``."""
+    if highest <= PLAN_CAP:
+        (rank,) = unused(owed, "__rank")
+        w = Window.partitionBy(*key).orderBy("seq")
+        # the literal prunes each task's rows before the shuffle, the column decides
+        return owed.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= highest).where(F.col(rank) <= cap).drop(rank)
+    # beyond that the boundary is found from sums over ranges of seq, so a key of any size is many tasks
+    (limit,) = unused(owed, "__limit")
+    return _kept(owed.withColumn(limit, cap), [*key, limit], F.lit(1), F.col(limit), False).drop(limit)
+
+
+def _under_cap(owed: DataFrame, key: list[str], name: str, free: Column) -> DataFrame:
+    """Rows without a cap as they are, and of the others the first of each key."""
+    if getattr(owed, "_flowlark_path", None) is None:
+        owed = materialize(owed, "owed")  # read three times, and costly to make
+    highest = owed.agg(F.max(F.when(~free, F.col(name)))).first()[0]  # one number
+    if highest is None:
+        return owed
+    return owed.where(free).unionByName(_first(owed.where(~free), key, F.col(name), int(highest)))
+
 
 def subject_credit(owed: DataFrame, limit: str = "limit") -> DataFrame:
     """The first ``limit`` rows of each consumer and subject; a null limit is none."""
-    w = Window.partitionBy("consumer_id", "subject").orderBy("seq")
-    return owed.withColumn("__r", F.row_number().over(w)).where(F.col(limit).isNull() | (F.col("__r") <= F.col(limit))).drop("__r")
+    return _under_cap(owed, ["consumer_id", "subject"], limit, F.col(limit).isNull())
 
 
 def consumer_credit(owed: DataFrame, most: str = "max_inflight") -> DataFrame:
-    """The first ``max_inflight`` rows of each consumer; 0 is no limit."""
-    w = Window.partitionBy("consumer_id").orderBy("seq")
-    return owed.withColumn("__r", F.row_number().over(w)).where((F.col(most) == 0) | (F.col("__r") <= F.col(most))).drop("__r")
+    """The first ``max_inflight`` rows of each consumer; 0 or null is no limit, and takes no window."""
+    return _under_cap(owed, ["consumer_id"], most, F.coalesce(F.col(most), F.lit(0)) == 0)
 
 
 def capped(owed: DataFrame, key: list[str], most: int) -> DataFrame:
@@ -33,8 +60,11 @@ def capped(owed: DataFrame, key: list[str], most: int) -> DataFrame:
 
 
 def credit(owed: DataFrame) -> DataFrame:
-    """Both limits: what a subject's limit holds back takes none of the consumer's credit."""
-    return consumer_credit(subject_credit(owed))
+    """Both limits: what a subject's limit holds back takes none of the consumer's credit.
+
+    What is owed is written once, since matching and routing made it.
+    """
+    return consumer_credit(subject_credit(materialize(owed, "owed")))
 
 
 def cursor_pin(owed: DataFrame, sent: DataFrame) -> DataFrame:

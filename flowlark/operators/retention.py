@@ -35,7 +35,7 @@ def _ranges(rows: DataFrame, by: list[str], weight: Column, newest: bool, ranges
     return keyed, sums.withColumn("__before", F.coalesce(F.sum("__sum").over(upto), F.lit(0)))
 
 
-def _kept(rows: DataFrame, by: list[str], weight: Column, limit: int, newest: bool, ranges: int = RANGES) -> DataFrame:
+def _kept(rows: DataFrame, by: list[str], weight: Column, limit: Column | int, newest: bool, ranges: int = RANGES) -> DataFrame:
     keyed, sums = _ranges(rows, by, weight, newest, ranges)
     on = [*by, "__range"]
     whole = sums.where(F.col("__before") + F.col("__sum") <= limit).select(*on)
@@ -88,21 +88,56 @@ def admitted_bytes(rows: DataFrame, most: int, by: list[str], used: int = 0) ->
 def admitted_batches(batches: DataFrame, free_messages: int, free_bytes: int) -> DataFrame:
     """``batch_id, accepted``: a batch fits whole, in turn, or is refused whole.
 
-    Batches are summed first; the fold is over one row for each batch.
+    Batches are summed first.  Whether one fits depends on all before it, so the
+    sums stream through one task in order; it holds two numbers.
     """
     sums = batches.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("nbytes").alias("b"), F.min("seq").alias("seq"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = b = 0
-        out = []
-        for r in rows.sort_values("seq").itertuples():
-            fits = n + r.n <= free_messages and b + r.b <= free_bytes
-            n, b = (n + r.n, b + r.b) if fits else (n, b)
-            out.append((r.batch_id, fits))
-        return pd.DataFrame(out, columns=["batch_id", "accepted"])
+        for part in parts:
+            out = np.zeros(len(part), dtype=bool)
+            for i, (rows, size) in enumerate(zip(part["n"], part["b"], strict=True)):
+                if n + rows <= free_messages and b + size <= free_bytes:
+                    n, b, out[i] = n + rows, b + size, True
+            yield pd.DataFrame({"batch_id": part["batch_id"], "accepted": out})
 
     schema = T.StructType([batches.schema["batch_id"], T.StructField("accepted", T.BooleanType())])
-    return sums.groupBy().applyInPandas(run, schema)
+    return sums.repartition(1).sortWithinPartitions("seq").mapInPandas(run, schema)
+
+
+def admitted(rows: DataFrame, streams: DataFrame, used_messages: int = 0, used_bytes: int = 0, shard: str | None = None) -> DataFrame:
+    """Rows with ``accepted`` under the quotas of streams that refuse what is new.
+
+    A stream of ``discard`` new refuses a row when its store holds ``max_msgs``
+    messages, or would hold more than ``max_bytes`` bytes; 0 or null is no
+    quota.  Counts are those of the whole store (``shard``, or all rows), over
+    all its streams, so this is a fold over a store's rows in order of ``seq``:
+    they stream through a task sorted, and it holds two numbers for each store.
+    """
+    limits = streams.select(
+        F.col("name").alias("stream"),
+        *[F.when(F.col("discard") == "new", F.nullif(F.coalesce(c, F.lit(0)), F.lit(0))).cast("long").alias(f"__{c}") for c in ("max_msgs", "max_bytes")],
+    )
+    by = [shard] if shard else []
+    known = rows.join(limits, "stream", "left").select(*rows.columns, "__max_msgs", "__max_bytes")
+    dealt = (known.repartition(*by) if by else known.repartition(1)).sortWithinPartitions(*by, "seq")
+    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, n, held = None, used_messages, used_bytes
+        for part in parts:
+            out = np.zeros(len(part), dtype=bool)
+            keys = part[shard] if shard else [0] * len(part)
+            sizes = zip(keys, part["nbytes"], part["__max_msgs"].fillna(-1), part["__max_bytes"].fillna(-1), strict=True)
+            for i, (key, size, msgs, most) in enumerate(sizes):
+                if key != last:
+                    last, n, held = key, used_messages, used_bytes
+                if (msgs < 0 or n < msgs) and (most < 0 or held + size <= most):
+                    n, held, out[i] = n + 1, held + size, True
+            yield part.drop(columns=["__max_msgs", "__max_bytes"]).assign(accepted=out)
+
+    return dealt.mapInPandas(run, schema)
 
 
 def truncate_front(rows: DataFrame, seq: int) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import acks, catalog, credit, dedup, metrics, retention, routin
 from ..sources import log as L
 from ..sources import sinks
 from ..sources.tables import event_messages, order_messages, table
+from ..storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,8 +329,8 @@ def credit_known_cap(spark, d):
 
 @query(f"WITH {_M}, {_F}, {_MATCH}, {_LIM}, {_OWED}, z AS (SELECT consumer, seq FROM wc WHERE max_inflight = 0 OR rc <= max_inflight) SELECT w.consumer AS consumer_id, coalesce(min(w.seq) FILTER (WHERE z.seq IS NULL) - 1, max(w.seq)) AS cursor FROM w LEFT JOIN z ON z.consumer = w.consumer AND z.seq = w.seq GROUP BY w.consumer")
 def cursor_pin(spark, d):
-    owed = _owed(spark, d)
-    return credit.cursor_pin(owed, credit.credit(owed))
+    owed = materialize(_owed(spark, d), "owed")
+    return credit.cursor_pin(owed, credit.consumer_credit(credit.subject_credit(owed)))
 
 
 @query(f"WITH {_M} SELECT user_id AS connection_id, CASE WHEN count(*) > 60 THEN 'over' ELSE 'within' END AS state, count(*) AS n FROM m GROUP BY user_id HAVING count(*) > 60")

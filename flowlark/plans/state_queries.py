@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions import subjects as S
-from ..operators import acks, catalog, credit, dedup, metrics, retention, routing, schedule, workflow
+from ..operators import acks, catalog, credit, dedup, metrics, publish, retention, routing, schedule, workflow
 from ..schema import MAX_DELAYED
 from ..sources import log as L
 from ..sources import sinks
@@ -107,6 +107,36 @@ def publishable_rows(spark, d):
     return sinks.publishable(rows).select("seq", "flags", "msg_id", "nbytes", "error")
 
 
+@query(f"WITH {_M}, x AS (SELECT seq, event_type AS stream, CASE WHEN seq % 23 = 0 THEN 'invalid' WHEN event_type = 'error' THEN 'unknown_stream' WHEN event_type = 'click' AND seq > 1200 THEN 'over_quota' ELSE 'ok' END AS verdict FROM m WHERE seq <= 4000) SELECT seq, stream, verdict, CASE WHEN verdict = 'ok' THEN 999 + row_number() OVER (PARTITION BY verdict ORDER BY seq) END AS stored_seq FROM x")
+def publish_verdicts(spark, d):
+    """A publish as one operator: validated, de-duplicated, under quota, numbered; no id repeats here.
+
+    The quota of stream click is what the store holds once row 1200 has come.
+    """
+    m = event_messages(spark, d).where("seq <= 4000")
+    rows = m.select(
+        "seq", F.col("event_type").alias("stream"), F.when(F.col("seq") % 23 == 0, F.lit("a b")).otherwise(F.col("subject")).alias("subject"), "ts_ms",
+        F.create_map(F.lit("msg-id"), F.col("seq").cast("string")).alias("headers"), F.lit(None).cast("string").alias("reply_to"), "payload",
+    )
+    most = m.where("seq <= 1200 AND seq % 23 <> 0 AND event_type <> 'error'").count()
+    names = [r[0] for r in m.select("event_type").distinct().collect() if r[0] != "error"]
+    streams = spark.createDataFrame(
+        [(n, most if n == "click" else 0, 0, "new" if n == "click" else "old", 60_000) for n in names],
+        "name string, max_msgs long, max_bytes long, discard string, idempotency_window_ms long",
+    )
+    return publish.publish(rows, streams, 1000).select("seq", "stream", "verdict", "stored_seq")
+
+
+@query(f"""WITH RECURSIVE {_M}, b AS (SELECT seq // 7 AS batch, count(*) AS n, CAST(sum(nbytes) AS BIGINT) AS b, count(DISTINCT user_id) < count(*) AS dup, min(seq) AS s FROM m GROUP BY 1),
+u AS (SELECT *, row_number() OVER (ORDER BY s) AS i FROM b WHERE NOT dup),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, FALSE AS ok UNION ALL SELECT u.i, CASE WHEN r.n + u.n <= 3000 AND r.b + u.b <= 50000 THEN r.n + u.n ELSE r.n END, CASE WHEN r.n + u.n <= 3000 AND r.b + u.b <= 50000 THEN r.b + u.b ELSE r.b END, r.n + u.n <= 3000 AND r.b + u.b <= 50000 FROM r JOIN u ON u.i = r.i + 1)
+SELECT batch AS batch_id, 'duplicate' AS verdict FROM b WHERE dup UNION ALL SELECT batch, CASE WHEN ok THEN 'ok' ELSE 'over_quota' END FROM r JOIN u USING (i)""")
+def publish_batch_verdicts(spark, d):
+    """Batches published whole or not at all: a duplicate within refuses one, and so does the quota."""
+    rows = event_messages(spark, d).select(F.floor(F.col("seq") / 7).alias("batch_id"), "seq", "stream", F.col("user_id").cast("string").alias("msg_id"), "nbytes")
+    return publish.publish_batches(rows, None, 3_000, 50_000)
+
+
 # ---- row filters and routing
 
 
