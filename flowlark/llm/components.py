@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialize(
         both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), "labels"
     )
+    held = labels
     while True:
         least = (
             both.join(labels.select(F.col("node").alias("b"), "component"), "b")
@@ -38,6 +39,10 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "labels",
         )
-        if after.where(F.col("component") != F.col("before")).isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        done = after.where(F.col("component") != F.col("before")).isEmpty()
+        discard(held)
+        held, labels = after, after.select("node", "component")
+        if done:
+            discard(both)
+            labels._flowlark_path = after._flowlark_path
+            return labels

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .arrowtools import slices
 from .components import components
-from .shared import materialize, unused
+from .shared import discard, materialize, unused
 
 WORDS = 5
 #: Links need ``100 * intersection >= PERCENT * union``.
@@ -303,7 +303,7 @@ class Join:
         nodes = self.classes.select(F.col("node").alias("id"), "sig")
         # a table that repeats a row repeats its node, which does no harm
         chosen = materialize(made.join(nodes, ["id", "sig"], "left_semi"), "jaccard-prefixes")
-        bits = chosen.select(F.col("id").alias("node"), "n", "bits")
+        self.chosen, bits = chosen, chosen.select(F.col("id").alias("node"), "n", "bits")
         self.bits = bits.dropDuplicates(["node"]) if self.repeats else bits
         np_ = (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np")
         rows = chosen.select("id", "n", "light", F.posexplode("prefix").alias("place", "token")).select(
@@ -366,9 +366,9 @@ class Join:
             .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
         )
         union = F.col("na") + F.col("nb") - F.col("shared")
-        return materialize(
-            summed.where(100 * F.col("shared") >= self.percent * union).select("a", "b"), "jaccard-links"
-        )
+        out = materialize(summed.where(100 * F.col("shared") >= self.percent * union).select("a", "b"), "jaccard-links")
+        discard(pairs, nodes, parts)
+        return out
 
     def close(self) -> Column:
         """Whether the parity maps of ``x`` and ``y`` allow a link."""
@@ -390,14 +390,17 @@ class Join:
     def with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """Bucket rows with the component so far, of buckets that hold several."""
         known = components(links)
-        named = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # written, since the two sides of the lookup by token could not share its shuffle
+        named = materialize(rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-named")
         open_ = (
             named.groupBy("token", "heavy")
             .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
             .where(F.col("lo") != F.col("hi"))
             .select("token", "heavy")
         )
-        return materialize(self.by_token(named, open_, "left_semi"), "jaccard-open")
+        out = materialize(self.by_token(named, open_, "left_semi"), "jaccard-open")
+        discard(named, known)
+        return out
 
     def pivoted(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of each member of a bucket with the bucket's pivot of this turn."""
@@ -429,14 +432,17 @@ class Join:
 
     def run(self) -> DataFrame:
         """``id, n, component`` of each row."""
-        rows = self.buckets().withColumn("component", F.col("node"))
-        found = None
+        held = self.buckets()
+        rows, found = held.withColumn("component", F.col("node")), None
         for turn in range(PIVOT_ROUNDS + 1):
             last = turn == PIVOT_ROUNDS
             new = self.links(self.crossed(rows) if last else self.pivoted(rows, turn))
             found = new if found is None else found.union(new)
             if not last:
-                rows = self.with_components(rows.drop("component"), found)
+                before, held = held, self.with_components(rows.drop("component"), found)
+                rows = held
+                discard(before)
+        discard(held, self.chosen)
         merged = components(found)
         # written, so that rows meet it in a plain join, which Spark can split where many share a set
         grouped = materialize(
