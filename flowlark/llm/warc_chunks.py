@@ -91,10 +91,15 @@ def _chunks(data: pa.Buffer | bytes, chunk_chars: int) -> Iterator[tuple[str, bo
             return
 
 
+def _record_id(page_id: object, row: dict) -> str:
+    """The record of a page with the payload of ``row``; pages of one payload differ by their id alone."""
+    name = f"{page_id}\n{row['key']}\n{row['payload_digest']}"
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}"
+
+
 def _segments(row: dict, html: pa.Buffer | bytes, chunk_chars: int) -> Iterator[tuple[str, int, str]]:
     """The chunk rows (record id, chunk number, text of the segment) of a page."""
-    name = f"{row['page_id']}\n{row['key']}\n{row['payload_digest']}"
-    record = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}"
+    record, total = _record_id(row["page_id"], row), 0
     running = hashlib.sha1()
     chunks = _chunks(b"" if row["record_type"] == "revisit" else html, chunk_chars)
     for number, (chunk, last) in enumerate(chunks, 1):
@@ -111,6 +116,7 @@ def _segments(row: dict, html: pa.Buffer | bytes, chunk_chars: int) -> Iterator[
             head.append(f"X-Payload-Bytes: {row['payload_bytes']}")
             if row["record_type"] == "revisit":
                 head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+                head.append(f"WARC-Refers-To: <{_record_id(row['refers_to'], row)}>")
                 head.append(f"X-Refers-To-Page-Id: {row['refers_to']}")
                 block = ""
             else:
@@ -118,8 +124,11 @@ def _segments(row: dict, html: pa.Buffer | bytes, chunk_chars: int) -> Iterator[
         else:
             head += ["WARC-Type: continuation", f"WARC-Record-ID: <{record}/{number}>", f"WARC-Segment-Origin-ID: <{record}>"]
         head.append(f"WARC-Date: {_DATE}")
+        total += len(block.encode())
         if number > 1 or not last:
             head.append(f"WARC-Segment-Number: {number}")
+        if number > 1 and last:
+            head.append(f"WARC-Segment-Total-Length: {total}")
         if last:
             head.append(f"X-Last-Segment: {number}")
         head.append(f"X-Running-Digest: sha1:{base32(running.copy().digest())}")
