@@ -393,8 +393,9 @@ class Join:
         # written, since the two sides of the lookup by token could not share its shuffle
         named = materialize(rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "jaccard-named")
         open_ = (
-            named.groupBy("token", "heavy")
-            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+            # by token alone, which also is what rows are joined by
+            named.groupBy("token")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("heavy").alias("heavy"))
             .where(F.col("lo") != F.col("hi"))
             .select("token", "heavy")
         )
@@ -406,7 +407,7 @@ class Join:
         """Pairs of each member of a bucket with the bucket's pivot of this turn."""
         order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
         row = F.struct("node", "n", "place", "component")
-        pivots = rows.groupBy("token", "heavy").agg(F.min_by(row, F.struct(order, "node")).alias("p"))
+        pivots = rows.groupBy("token").agg(F.min_by(row, F.struct(order, "node")).alias("p"), F.max("heavy").alias("heavy"))
         near = possible(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place"), self.percent)
         apart = F.col("component") != F.col("p.component")
         return self.by_token(rows, pivots).where(near & apart).select(
