@@ -280,6 +280,13 @@ def possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Co
     )
 
 
+def partner_sizes(n: Column, place: Column, percent: int) -> tuple[Column, Column]:
+    """The least and the largest size of a set that a row of this size and place can be linked with."""
+    # 100 * (n - place) >= percent / (100 + percent) * 100 * (n + m), with the slack of ``needed``
+    most = F.floor((n - place) * F.lit((100 + percent) / percent) - n + F.lit(1e-6))
+    return F.ceil(n * F.lit(percent / 100) - F.lit(1e-6)), most
+
+
 class Join:
     """One run of the join over a table of documents."""
 
@@ -303,8 +310,6 @@ class Join:
         nodes = self.classes.select(F.col("node").alias("id"), "sig")
         # a table that repeats a row repeats its node, which does no harm
         chosen = materialize(made.join(nodes, ["id", "sig"], "left_semi"), "jaccard-prefixes")
-        self.chosen, bits = chosen, chosen.select(F.col("id").alias("node"), "n", "bits")
-        self.bits = bits.dropDuplicates(["node"]) if self.repeats else bits
         np_ = (F.col("n") * F.lit(1 << 31) + F.col("place")).alias("np")
         rows = chosen.select("id", "n", "light", F.posexplode("prefix").alias("place", "token")).select(
             "token", F.col("id").alias("node"), np_, (F.col("place") >= F.col("light")).alias("maybe")
@@ -314,20 +319,28 @@ class Join:
             F.explode(F.slice("prefix", F.col("light") + 1, F.size("prefix"))).alias("token")
         )
         heavy = materialize(some.groupBy("token").count().where(F.col("count") > self.heavy_rows).select("token"), "jaccard-heavy")
-        # one shuffle, and of the sorted run of a token no more than the rows beside one
-        w = Window.partitionBy("token").orderBy("node")
-        beside = F.lag("node").over(w).isNotNull() | F.lead("node").over(w).isNotNull()
+        # one shuffle, and of a token's run, sorted by size, no more than the rows beside one of a size that can be linked:
+        # if any size is within a row's bounds, so is that of a row next to it
+        w = Window.partitionBy("token").orderBy("np", "node")
+        n, place = F.shiftright("np", 31), F.col("np").bitwiseAND(F.lit((1 << 31) - 1))
+        under, over = F.shiftright(F.lag("np").over(w), 31), F.shiftright(F.lead("np").over(w), 31)
+        least, most = partner_sizes(n, place, self.percent)
+        beside = F.coalesce(under >= least, F.lit(False)) | F.coalesce(over <= most, F.lit(False))
         names = ("token", "node", "np")
         light = rows.join(F.broadcast(heavy), "token", "left_anti").withColumn("beside", beside).where("beside").select(*names).distinct()
         many = rows.where("maybe").join(F.broadcast(heavy), "token", "left_semi").select(*names).distinct()
         both = light.withColumn("heavy", F.lit(False)).unionByName(many.withColumn("heavy", F.lit(True)))
-        return materialize(
+        held = materialize(
             both.select(
                 "token", "heavy", "node", F.shiftright("np", 31).alias("n"),
                 F.col("np").bitwiseAND(F.lit((1 << 31) - 1)).alias("place"),
             ),
             "jaccard-buckets",
         )
+        bits = chosen.select(F.col("id").alias("node"), "n", "bits")
+        self.bits = materialize(bits.dropDuplicates(["node"]) if self.repeats else bits, "jaccard-bits")
+        discard(chosen, heavy)
+        return held
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The candidate pairs ``a, b`` that reach the threshold."""
@@ -420,16 +433,21 @@ class Join:
         The parity maps are looked at last, for what the places allow.  Rows of a
         heavy token are dealt out by salt, its rows on the other side to each.
         """
-        names = ("node", "n", "place", "component", "bits")
-        rows = rows.join(self.bits.select("node", "bits"), "node")
-        salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int")
-        every = F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-        side = lambda t, s: t.select(*[F.col(c).alias(f"{s}_{c}") for c in ("token", "salt", *names)])
-        x, y = side(rows.withColumn("salt", salt), "x"), side(rows.withColumn("salt", every), "y")
+        names = ("token", "node", "n", "place", "component", "bits")
+        # written, so that both sides, and both parts, read it
+        rows = self.left = materialize(rows.join(self.bits.select("node", "bits"), "node"), "jaccard-left")
+        side = lambda t, s: t.select(*[F.col(c).alias(f"{s}_{c}") for c in (*names, *t.columns[len(names) :])])
         near = possible(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"), self.percent)
-        same = (F.col("x_token") == F.col("y_token")) & (F.col("x_salt") == F.col("y_salt"))
         apart = (F.col("x_node") < F.col("y_node")) & (F.col("x_component") != F.col("y_component"))
-        return x.join(y, same & apart & near & self.close()).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        fits = (F.col("x_token") == F.col("y_token")) & apart & near & self.close()
+        # both sides of the light part are one shuffle
+        light = rows.where(~F.col("heavy")).select(*names)
+        many = rows.where("heavy").select(*names)
+        salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        dealt = side(many.select("*", salt), "x").join(side(many.select("*", every), "y"), fits & (F.col("x_salt") == F.col("y_salt")))
+        pair = (F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        return side(light, "x").join(side(light, "y"), fits).select(*pair).unionByName(dealt.select(*pair))
 
     def run(self) -> DataFrame:
         """``id, n, component`` of each row."""
@@ -443,7 +461,7 @@ class Join:
                 before, held = held, self.with_components(rows.drop("component"), found)
                 rows = held
                 discard(before)
-        discard(held, self.chosen)
+        discard(held, self.left, self.bits)
         merged = components(found)
         # written, so that rows meet it in a plain join, which Spark can split where many share a set
         grouped = materialize(
