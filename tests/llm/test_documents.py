@@ -452,3 +452,13 @@ def test_queries_have_operators():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
     assert numbers == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_jaccard_partner_sizes_lose_no_possible_pair(spark):
+    sizes = spark.range(1, 61).selectExpr("id AS n1").crossJoin(spark.range(1, 61).selectExpr("id AS n2"))
+    pairs = sizes.crossJoin(spark.range(0, 14).selectExpr("id AS p1"))
+    for percent in (80, 90, 100):
+        may = jaccard_fragments.possible(F.col("n1"), F.col("p1"), F.col("n2"), F.lit(0), percent)
+        least, most = jaccard_fragments.partner_sizes(F.col("n1"), F.col("p1"), percent)
+        assert pairs.where(may & ~F.col("n2").between(least, most)).isEmpty()
+        assert not pairs.where(~F.col("n2").between(least, most)).isEmpty()
