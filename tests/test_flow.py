@@ -1,11 +1,14 @@
 """Credit, acks, dedup, time, retention, catalog and workflows against plain simulations."""
 
+import itertools
 import random
+import threading
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from flowlark.functions import subjects as S
 from flowlark.operators import acks, catalog, credit, dedup, metrics, retention, schedule, workflow
 from flowlark.sources import log, sinks
 
@@ -263,6 +266,48 @@ def test_consumer_rules(spark):
     assert {r["name"]: r["start_seq"] for r in after.collect()} == {"c0": 0, "c8": 42}
 
 
+def test_nesting_equals_all_pairs(spark):
+    """Look-ups by shape find what a comparison of all pairs finds, also for filters that nothing validated."""
+    odd = [None, "", ".", "a.", ".a", "a..b", ">", "*", "*.>", ">.a", "a.>.b", "*.>.>", "a*.b", "a.b>", ">.>", "a.*.", "*.*.>"]
+    tokens = ["a", "b", "*"]
+    plain = [".".join(x) for n in (1, 2, 3) for x in itertools.product(tokens, repeat=n)]
+    filters = odd + plain + [p + ".>" for p in plain if p.count(".") < 2]
+    rows = [(f"c{i % 50}" if i % 17 else None, ["s", "t", None][i % 7 // 3], f) for i, f in enumerate(filters * 3)]
+    rows += [("c1", "u", "a.b"), ("c1", "u", "a.*"), ("c2", "u", "b.*")]  # a consumer's own filters may nest
+    t = frame(spark, rows, "name string, stream string, filter string")
+    a, b = (t.select(*[F.col(c).alias(f"{x}_{c}") for c in t.columns]) for x in "ab")
+    every = a.crossJoin(b).where((F.col("a_stream") == F.col("b_stream")) & (F.col("a_name") != F.col("b_name")) & S.strictly_nested("b_filter", "a_filter"))
+    want = [(r["a_stream"], r["a_name"], r["b_name"]) for r in every.collect()]
+    assert len(want) > 500
+    assert sorted((r["stream"], r["outer"], r["inner"]) for r in catalog.nested_consumers(t).collect()) == sorted(want)
+    names = {(s, n) for s, *pair in want for n in pair}
+    got = [tuple(r) for r in catalog.in_nesting(t).select("stream", "name").collect()]
+    assert len(got) == len(names) and set(got) == names
+    assert {s for s, _ in names} == {"s", "t"}
+
+
+def test_consumers_of_a_stream_are_not_compared_in_pairs(spark):
+    """Two streams of 20,000 consumers: one of literal filters, one where 10,000 share a filter that holds the others'."""
+    k = F.col("id").cast("string")
+    asks = spark.range(40_000).select(
+        F.concat(F.lit("c"), k).alias("name"), F.when(F.col("id") % 2 == 0, "s").otherwise("t").alias("stream"), F.lit("g").alias("group_name"),
+        F.when(F.col("id") % 4 == 0, "s.*").otherwise(F.concat(F.when(F.col("id") % 2 == 0, "s.c").otherwise("t.c"), k)).alias("filter"),
+        F.lit("explicit").alias("ack_policy"), F.lit("all").alias("deliver_policy"), *[F.lit(0).cast("long").alias(c) for c in ("start_seq", "max_inflight", "ack_wait_ms")],
+    )
+    streams = frame(spark, [("s", "s.>"), ("t", "t.>")], "name string, filter string")
+    context = spark.sparkContext
+    context.setJobGroup("pairs", "consumer verdicts", interruptOnCancel=True)
+    stop = threading.Timer(90, context.cancelJobGroup, ["pairs"])
+    stop.start()
+    try:
+        verdicts = catalog.consumer_verdicts(asks, streams, asks.limit(0))
+        got = {(r["stream"], r["verdict"]): r["n"] for r in verdicts.groupBy("stream", "verdict").agg(F.count("*").alias("n")).collect()}
+    finally:
+        stop.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {("s", "filter_nested"): 20_000, ("t", "created"): 20_000}
+
+
 def test_subscriptions_and_bindings(spark):
     consumers = frame(spark, [(1, "o.>")], "consumer_id long, filter string")
     asks = [(1, 1, 1, ["o.a"]), (1, 2, 1, []), (1, 3, 9, ["o.a"]), (2, 4, 1, ["p"]), (2, 5, 1, ["q"]), (3, 6, 1, ["a b"])]
